@@ -10,6 +10,7 @@ from barloom.operators.copydiff import diff_copies
 from barloom.operators.regrid import regularize
 from barloom.operators.snapshots import series_changes
 from barloom.operators.spikes import flag_bars
+from barloom.operators.units import Relation, UnitHarmonizer, conversion_table
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -31,6 +32,57 @@ def p1_differences(spark: SparkSession, sf: str) -> DataFrame:
     return bar_copies(spark, sf).select("symbol", clean.day_text("day").alias("date"), "kind", "field", F.col("left_value").try_cast("double").alias("bars_value"), F.col("right_value").try_cast("double").alias("xdxr_value"), "n")
 
 
+class BarUnits(UnitHarmonizer):
+    """Bars: volume in lots, amount in yuan, turnover in percent of the float."""
+
+    def __init__(self):
+        super().__init__(
+            {"volume": ("volume", "volume_unit"), "amount": ("amount", "amount_unit"), "turnover_rate": ("turnover_rate", "turnover_unit")},
+            [
+                Relation("volume", "amount", "log10(case when close > 0 then close end) + 2"),
+                Relation("volume", "turnover_rate", "4 - log10(case when float_shares > 0 then cast(float_shares as double) end)"),
+                Relation("amount", "turnover_rate", "2 - log10(case when float_shares > 0 then cast(float_shares as double) end) - log10(case when close > 0 then close end)"),
+            ],
+            row_id="delivery_id", source="source", entity=["__sym", "date"], delivered="fetched_at",
+        )
+
+    def hints(self, c):
+        """Shares come in whole lots of 100; percent is written with at most four decimals."""
+        v, t = F.col("n_volume"), F.col("n_turnover_rate") * 10000
+        lots = F.when(F.abs(v - 100 * F.round(v / 100)) > 1e-6, F.when(c["volume"] == -2, 0.5).otherwise(0.0)).otherwise(F.when(c["volume"] == 0, 0.05).otherwise(0.0))
+        fine = F.when(F.abs(t - F.round(t)) > 1e-4, F.when(c["turnover_rate"] == 0, 0.3).otherwise(0.0)).otherwise(F.when(c["turnover_rate"] == 2, 0.05).otherwise(0.0))
+        return F.when(F.col("p_volume").isNull(), F.coalesce(lots, F.lit(0.0))).otherwise(0.0) + F.when(F.col("p_turnover_rate").isNull(), F.coalesce(fine, F.lit(0.0))).otherwise(0.0)
+
+
+def deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    bars = table(spark, sf, "source_bars")
+    return bars.select("delivery_id", "source", clean.canon_symbol("symbol").alias("__sym"), "date", clean.present("close").alias("close"), "volume", "volume_unit", "amount", "amount_unit", "turnover_rate", "turnover_unit", "fetched_at")
+
+
+def common_units(spark: SparkSession, sf: str) -> DataFrame:
+    floats = table(spark, sf, "instruments").where("symbol is not null").groupBy(clean.canon_symbol("symbol").alias("__sym")).agg(F.max("float_shares").alias("float_shares"))
+    return BarUnits().harmonize(deliveries(spark, sf), table(spark, sf, "feed_units"), context=floats, context_key="__sym", keep=["close"])
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    fields = ("volume", "amount", "turnover_rate")
+    each = F.array(*[F.when(F.col(f"p_{f}") != 0, F.struct(F.lit(f).alias("field"), F.col(f"p_{f}").cast("bigint").alias("power"))) for f in fields])
+    return common_units(spark, sf).select("delivery_id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("delivery_id", "x.field", "x.power")
+
+
+def p2_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Every delivery in lots, yuan and percent; which figures' units were inferred."""
+    fields = ("volume", "amount", "turnover_rate")
+    return common_units(spark, sf).select("delivery_id", "source", *[F.round(F.col(f"n_{f}") * F.pow(F.lit(10.0), F.col(f"p_{f}")), 6).alias(f) for f in fields], F.concat_ws(",", *[F.when(F.col(f"i_{f}"), F.lit(f)) for f in fields]).alias("inferred"))
+
+
+def p2_conversions(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversions that links to other sources show for figures without stated units: one row per source, field and power."""
+    units = BarUnits()
+    _, pairs = units.links(units.read(deliveries(spark, sf), table(spark, sf, "feed_units"), []))
+    return spark.createDataFrame(conversion_table(units.graph(pairs)), "source string, field string, power int, share double")
+
+
 def gridded(spark: SparkSession, sf: str, fields: list[str]) -> DataFrame:
     bars = table(spark, sf, "daily_bars").select("symbol", "date", "updated_at", *fields)
     return regularize(bars, table(spark, sf, "calendar"), "symbol", "date", fields, version="updated_at")
@@ -78,7 +130,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_changes(spark, sf).drop("changed_fields")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_differences, p3_found, p3_grid, p4_found, p4_signals, p5_found, p6_found, p6_changes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_differences, p2_found, p2_values, p2_conversions, p3_found, p3_grid, p4_found, p4_signals, p5_found, p6_found, p6_changes)}
 
 #: DuckDB expressions for the raw forms.
 SQL_SYMBOL = "regexp_extract({0}, '([0-9]{{6}})', 1) || '.' || regexp_extract(upper({0}), '(SH|SZ|BJ)', 1)"

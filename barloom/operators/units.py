@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions.clean import quoted
 from barloom.functions.units import POWERS, number_and_unit, unit_power
+from barloom.session import stage_table
 
 #: Bins per power of ten in the histograms of pairwise ratios.
 BINS = 20
@@ -183,7 +184,7 @@ class UnitHarmonizer:
 
         ``context`` adds columns the relations need, by equality on ``context_key`` (a column of rows and of context)."""
         keep = [*(keep or []), *([context_key] if context_key else [])]
-        read = self.read(rows, known_units, keep)
+        read = stage_table(self.read(rows, known_units, keep), "units")  # texts are parsed once, numbers are used three times
         missing = " or ".join(f"(n_{f} is not null and p_{f} is null)" for f in self.fields)
         means, pairs = self.links(read)
         graph = self.graph(pairs)

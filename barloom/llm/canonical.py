@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions.clean import quoted
+from barloom.session import stage_table
 
 #: Letters of other scripts that look like a Latin letter, from the public table of confusable characters.
 LOOKALIKES = {
@@ -34,9 +35,13 @@ BLANKS = "\t               　"
 SHOWN = ("<super>", "<sub>", "<circle>", "<fraction>", "<square>")
 
 
+#: Greek, Cyrillic and phonetic letters: each may have a twin in another script.
+FOREIGN = "Ͱ-ϿЀ-ԯɐ-ʯ"
+
+
 @functools.cache
-def tables() -> tuple[dict[int, str], re.Pattern, re.Pattern]:
-    """Per-character replacements, what makes a text unstable, and the segments to normalize.
+def tables() -> tuple[dict[int, str], re.Pattern, re.Pattern, frozenset[str]]:
+    """Per-character replacements, runs of unstable characters, the letters that go with a run, and the characters that join to one before.
 
     All from the Unicode data of the interpreter: a character is unstable if it is invisible, a blank or hyphen of another kind, has a
     decomposition that doesn't show, may combine with the character before it, or looks like a letter of another script.
@@ -70,12 +75,11 @@ def tables() -> tuple[dict[int, str], re.Pattern, re.Pattern]:
                 start = None
         return "".join(parts)
 
-    foreign = "Ͱ-ϿЀ-ԯɐ-ʯ"
-    odd = charset([chr(c) for c in plain] + joining) + foreign
-    unstable = re.compile(f"[{odd}]")
-    # a segment: unstable characters with the letters around them, so that marks meet their base and words are judged whole
-    segment = re.compile(f"(?:[^\\W\\d_]|[{odd}])*[{odd}](?:[^\\W\\d_]|[{odd}])*")
-    return plain, unstable, segment
+    odd = charset([chr(c) for c in plain] + joining) + FOREIGN
+    run = re.compile(f"[{odd}]+")
+    # letters of the scripts that have twins: a word of them is judged whole
+    letters = re.compile(f"[A-Za-zªµºÀ-ÖØ-öø-ɏḀ-ỿ{odd}]*")
+    return plain, run, letters, frozenset(joining)
 
 
 WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
@@ -113,18 +117,36 @@ def _one_script(match: re.Match) -> str:
     return unicodedata.normalize("NFC", parts)
 
 
-def _segment(match: re.Match) -> str:
-    return WORD.sub(_one_script, unicodedata.normalize("NFC", match.group().translate(tables()[0])))
+@functools.lru_cache(maxsize=1 << 16)
+def _segment(text: str) -> str:
+    return WORD.sub(_one_script, unicodedata.normalize("NFC", text.translate(tables()[0])))
 
 
 def canonical(text: str) -> str:
-    """The consistent form of a text: stable stretches are kept as they are, unstable ones are normalized and spliced in."""
+    """The consistent form of a text: stable stretches are kept as they are, unstable ones are normalized with their boundary and spliced in.
+
+    A segment is a run of unstable characters, the character before it if the run begins with a mark that may join it, and the letters of
+    the words it touches.
+    """
     if text.isascii() and "\t" not in text and "\r" not in text:
         return text
-    _, unstable, segment = tables()
-    if unstable.search(text) is None:
+    _, run, letters, joining = tables()
+    parts, done = [], 0
+    for found in run.finditer(text):
+        start, end = found.span()
+        if end <= done:
+            continue
+        start = max(start, done)
+        if start > done and text[start] in joining:
+            start -= 1
+        while start > done and letters.fullmatch(text[start - 1]):
+            start -= 1
+        end = letters.match(text, end).end()
+        parts += [text[done:start], _segment(text[start:end])]
+        done = end
+    if not done:
         return text
-    return segment.sub(_segment, text)
+    return "".join(parts) + text[done:]
 
 
 def canonical_text(c: Column | str, *, quick: str = r"^[\n\x20-\x7e\x{4E00}-\x{9FFF}\x{3001}\x{3002}\x{3041}-\x{3096}\x{30A1}-\x{30FA}]*$") -> Column:
@@ -156,7 +178,8 @@ def lookalike_pairs(docs: DataFrame, row_id: str = "doc_id", text: str = "text")
     and then their rows. Exact copies of one text are never paired with each other, however many there are.
     """
     classed = canonical_documents(docs.select(quoted(row_id).alias("__id"), quoted(text).alias("__t")).where("__id is not null and __t <> ''"), "__t")
-    classed = classed.select("__id", F.md5(F.col("canonical_text").cast("binary")).alias("__c"), F.md5(F.col("__t").cast("binary")).alias("__x"))
+    # digests are made once and used three times
+    classed = stage_table(classed.select("__id", F.md5(F.col("canonical_text").cast("binary")).alias("__c"), F.md5(F.col("__t").cast("binary")).alias("__x")), "looks")
     classes = classed.groupBy("__c", "__x").agg(F.count(F.lit(1)).alias("__n"))
     several = classes.groupBy("__c").agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi")).where("__lo < __hi").select(F.col("__c").alias("__k"))
     live = classes.join(several, F.col("__c") == F.col("__k"), "left_semi").select("__c", "__x")

@@ -19,8 +19,11 @@ STUCK_RUN = 5
 TAIL, RISK = 0.10, 1e-6
 #: Residuals beyond so many usual movements are no part of normal behaviour and stay out of the fit.
 GROSS = 7.0
-#: A cutoff is at least so many usual movements, whatever the fit says ("many times").
-LEAST_TIMES = 7.0
+#: A cutoff is at least and at most so many usual movements, whatever the fit says: under that a move is not "many times" the usual one,
+#: and a tail fitted to a short history must not hide what is far beyond it.
+LEAST_TIMES, MOST_TIMES = 7.0, 9.0
+#: The path resumes if the values around an excursion differ by no more than this share of it.
+RESUMES = 0.6
 #: Shape limits of the tail, and the exceedances a fit needs.
 SHAPE_LOW, SHAPE_HIGH, FEWEST = -0.3, 0.25, 12
 #: Bins of the residual histograms per factor of two.
@@ -63,7 +66,7 @@ def excursion(value: str, order: str = "__ord", partition: str = "__src, __block
         for j in range(1, LONGEST + 2 - i):
             down, up = F.col(value) - at("lag", i, value), F.col(value) - at("lead", j, value)
             least = F.least(F.abs(down), F.abs(up))
-            ok = (down * up > 0) & (F.abs(down - up) <= 0.4 * least)
+            ok = (down * up > 0) & (F.abs(down - up) <= RESUMES * least)
             if raw:  # the raw value must move too: a wrong factor alone is no excursion of the price
                 ok = ok & (F.greatest(F.abs(F.col(raw) - at("lag", i, raw)), F.abs(F.col(raw) - at("lead", j, raw))) > 0.5 * least)
             options.append(F.when(ok, least))
@@ -74,7 +77,7 @@ def tail_cutoffs(residuals: DataFrame) -> DataFrame:
     """Per source, the cutoff of ``__e`` (residual) in terms of its own tail and of its ``__move`` (usual movement).
 
     Peaks over threshold on seasonal residuals: residuals are centred by weekday, binned, and the exceedances over the threshold with TAIL
-    above it give a generalised Pareto tail by moments; its quantile at RISK is the cutoff, never under LEAST_TIMES usual movements.
+    above it give a generalised Pareto tail by moments; its quantile at RISK is the cutoff, held between LEAST_TIMES and MOST_TIMES usual movements.
     Only histograms per source are gathered: at most a few hundred bins, whatever the number of rows.
     """
     def binned(c: Column) -> Column:
@@ -99,7 +102,7 @@ def tail_cutoffs(residuals: DataFrame) -> DataFrame:
     scale = mean * (1 - shape)
     quantile = F.col("u") + scale / shape * (F.pow(F.lit(RISK) * F.col("all") / F.col("k"), -shape) - 1)
     fitted = over.select("__src", "__usual", F.when(F.col("k") >= FEWEST, quantile).alias("q"))
-    cutoff = F.greatest(F.coalesce("q", F.lit(0.0)), LEAST_TIMES * F.col("__usual"))
+    cutoff = F.least(F.greatest(F.coalesce("q", F.lit(0.0)), LEAST_TIMES * F.col("__usual")), MOST_TIMES * F.col("__usual"))
     out = usual.join(fitted.select("__src", "q"), F.col("__src") == F.col("__s"), "left").select("__s", "__usual", cutoff.alias("__cutoff"))
     return out
 

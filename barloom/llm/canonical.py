@@ -35,8 +35,11 @@ BLANKS = "\t               　"
 SHOWN = ("<super>", "<sub>", "<circle>", "<fraction>", "<square>")
 
 
-#: Greek, Cyrillic and phonetic letters: each may have a twin in another script.
+#: Latin letters, and Greek, Cyrillic and phonetic ones: each of these may have a twin in another script.
+LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1eff"
 FOREIGN = "Ͱ-ϿЀ-ԯɐ-ʯ"
+#: A word of these letters and their marks.
+WORD = re.compile(f"[{LATIN}{FOREIGN}][{LATIN}{FOREIGN}\u0300-\u036f]*")
 
 
 @functools.cache
@@ -78,11 +81,10 @@ def tables() -> tuple[dict[int, str], re.Pattern, re.Pattern, frozenset[str]]:
     odd = charset([chr(c) for c in plain] + joining) + FOREIGN
     run = re.compile(f"[{odd}]+")
     # letters of the scripts that have twins: a word of them is judged whole
-    letters = re.compile(f"[A-Za-zªµºÀ-ÖØ-öø-ɏḀ-ỿ{odd}]*")
+    letters = re.compile(f"[{LATIN}{odd}]*")
     return plain, run, letters, frozenset(joining)
 
 
-WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
 
 
 @functools.cache
@@ -117,15 +119,21 @@ def _one_script(match: re.Match) -> str:
     return unicodedata.normalize("NFC", parts)
 
 
+def whole(text: str) -> str:
+    """The rules applied to all of a text; canonical() comes to the same by segments."""
+    composed = unicodedata.normalize("NFC", text.translate(tables()[0]))
+    return unicodedata.normalize("NFC", WORD.sub(_one_script, composed))
+
+
 @functools.lru_cache(maxsize=1 << 16)
 def _segment(text: str) -> str:
-    return WORD.sub(_one_script, unicodedata.normalize("NFC", text.translate(tables()[0])))
+    return whole(text)
 
 
 def canonical(text: str) -> str:
     """The consistent form of a text: stable stretches are kept as they are, unstable ones are normalized with their boundary and spliced in.
 
-    A segment is a run of unstable characters, the character before it if the run begins with a mark that may join it, and the letters of
+    A segment is a run of unstable characters, the character before it if the run holds a mark that may join it, and the letters of
     the words it touches.
     """
     if text.isascii() and "\t" not in text and "\r" not in text:
@@ -137,7 +145,7 @@ def canonical(text: str) -> str:
         if end <= done:
             continue
         start = max(start, done)
-        if start > done and text[start] in joining:
+        if start > done and not joining.isdisjoint(found.group()):
             start -= 1
         while start > done and letters.fullmatch(text[start - 1]):
             start -= 1

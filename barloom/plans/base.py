@@ -36,7 +36,7 @@ def day(c: Column | str = "date") -> Column:
 
 
 def v(c: str) -> str:
-    return f"CASE WHEN NOT isnan({c}) THEN {c} END AS {c}"
+    return f"CASE WHEN {c}::VARCHAR <> 'nan' THEN {c} END AS {c}"
 
 
 #: Clean bars: symbol, d (date), fields with NULL for NaN.

@@ -23,47 +23,51 @@ def query(name: str, text: str | None = None):
     return add
 
 
-C = F.col("close")
-LINE = S.line("symbol")
+def C():
+    return F.col("close")
+
+
+def LINE():
+    return S.line("symbol")
 
 
 def out(df: DataFrame, **cols) -> DataFrame:
     return df.select("symbol", day().alias("date"), *[c.alias(n) for n, c in cols.items()])
 
 
-def over_bars(name: str, spark_cols: dict, sql_cols: dict) -> None:
+def over_bars(name: str, spark_cols, sql_cols: dict) -> None:
     """A query of Columns over every symbol's own bars."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return out(bars(spark, sf), **spark_cols)
+        return out(bars(spark, sf), **spark_cols())
 
     run.__name__ = name
     QUERIES[name] = run
     SQL[name] = sql(f"SELECT symbol, {D}, " + ", ".join(f"{x} AS {n}" for n, x in sql_cols.items()) + " FROM b")
 
 
-over_bars("i01_sma", {"sma5": r6(S.sma(C, 5, LINE)), "sma20": r6(S.sma(C, 20, LINE))}, {"sma5": q6(roll("avg", 5, "close")), "sma20": q6(roll("avg", 20, "close"))})
-over_bars("i02_ref", {"ref3": S.ref(C, 3, LINE)}, {"ref3": lag("close", 3)})
-over_bars("i04_diff", {"diff2": r6(S.diff(C, 2, LINE))}, {"diff2": q6(f"close - {lag('close', 2)}")})
-over_bars("i05_hhv_llv", {"hhv10": S.hhv(F.col("high"), 10, LINE), "llv10": S.llv(F.col("low"), 10, LINE)}, {"hhv10": roll("max", 10, "high"), "llv10": roll("min", 10, "low")})
-over_bars("i08_roc", {"roc10": r6(S.roc(C, 10, LINE))}, {"roc10": q6(f"close / nullif({lag('close', 10)}, 0) - 1")})
-over_bars("i09_bias", {"bias6": r6(S.bias(C, 6, LINE))}, {"bias6": q6(f"close / nullif({roll('avg', 6, 'close')}, 0) - 1")})
+over_bars("i01_sma", lambda: {"sma5": r6(S.sma(C(), 5, LINE())), "sma20": r6(S.sma(C(), 20, LINE()))}, {"sma5": q6(roll("avg", 5, "close")), "sma20": q6(roll("avg", 20, "close"))})
+over_bars("i02_ref", lambda: {"ref3": S.ref(C(), 3, LINE())}, {"ref3": lag("close", 3)})
+over_bars("i04_diff", lambda: {"diff2": r6(S.diff(C(), 2, LINE()))}, {"diff2": q6(f"close - {lag('close', 2)}")})
+over_bars("i05_hhv_llv", lambda: {"hhv10": S.hhv(F.col("high"), 10, LINE()), "llv10": S.llv(F.col("low"), 10, LINE())}, {"hhv10": roll("max", 10, "high"), "llv10": roll("min", 10, "low")})
+over_bars("i08_roc", lambda: {"roc10": r6(S.roc(C(), 10, LINE()))}, {"roc10": q6(f"close / nullif({lag('close', 10)}, 0) - 1")})
+over_bars("i09_bias", lambda: {"bias6": r6(S.bias(C(), 6, LINE()))}, {"bias6": q6(f"close / nullif({roll('avg', 6, 'close')}, 0) - 1")})
 over_bars(
     "i12_boll",
-    dict(zip(("mid", "up", "low"), map(r6, S.boll(C, 20, 2.0, LINE)))),
+    lambda: dict(zip(("mid", "up", "low"), map(r6, S.boll(C(), 20, 2.0, LINE())))),
     {"mid": q6(roll("avg", 20, "close")), "up": q6(f"{roll('avg', 20, 'close')} + 2 * {roll('stddev_samp', 20, 'close')}"), "low": q6(f"{roll('avg', 20, 'close')} - 2 * {roll('stddev_samp', 20, 'close')}")},
 )
-over_bars("w01_change", {"pct": r6(S.roc(C, 1, LINE))}, {"pct": q6(f"close / nullif({lag('close')}, 0) - 1")})
-over_bars("w02_forward", {"fwd5": r6(F.try_divide(F.lead("close", 5).over(LINE), C) - 1)}, {"fwd5": q6(f"lead(close, 5) OVER ({W}) / nullif(close, 0) - 1")})
-over_bars("w05_fill_forward", {"factor": S.fill_forward(F.col("adj_factor"), LINE), "turnover": S.fill_forward(F.col("turnover_rate"), LINE)}, {"factor": f"last_value(adj_factor IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING)", "turnover": f"last_value(turnover_rate IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING)"})
-over_bars("w13_zscore", {"z20": r6(S.zscore(F.col("volume"), 20, LINE)), "z60": r6(S.zscore(F.col("volume"), 60, LINE))}, {f"z{n}": q6(f"(volume - {roll('avg', n, 'volume')}) / nullif({roll('stddev_samp', n, 'volume')}, 0)") for n in (20, 60)})
+over_bars("w01_change", lambda: {"pct": r6(S.roc(C(), 1, LINE()))}, {"pct": q6(f"close / nullif({lag('close')}, 0) - 1")})
+over_bars("w02_forward", lambda: {"fwd5": r6(F.try_divide(F.lead("close", 5).over(LINE()), C()) - 1)}, {"fwd5": q6(f"lead(close, 5) OVER ({W}) / nullif(close, 0) - 1")})
+over_bars("w05_fill_forward", lambda: {"factor": S.fill_forward(F.col("adj_factor"), LINE()), "turnover": S.fill_forward(F.col("turnover_rate"), LINE())}, {"factor": f"last_value(adj_factor IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING)", "turnover": f"last_value(turnover_rate IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING)"})
+over_bars("w13_zscore", lambda: {"z20": r6(S.zscore(F.col("volume"), 20, LINE())), "z60": r6(S.zscore(F.col("volume"), 60, LINE()))}, {f"z{n}": q6(f"(volume - {roll('avg', n, 'volume')}) / nullif({roll('stddev_samp', n, 'volume')}, 0)") for n in (20, 60)})
 
 
 def crossing(down: bool):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        df = bars(spark, sf).select("symbol", "date", S.sma(C, 5, LINE).alias("a"), S.sma(C, 20, LINE).alias("b"))
+        df = bars(spark, sf).select("symbol", "date", S.sma(C(), 5, LINE()).alias("a"), S.sma(C(), 20, LINE()).alias("b"))
         f = S.cross_down if down else S.cross
-        return out(df, crossed=f(F.round("a", 8), F.round("b", 8), LINE))
+        return out(df, crossed=f(F.round("a", 8), F.round("b", 8), LINE()))
 
     return run
 
@@ -75,8 +79,8 @@ for _name, _sign in (("i06_cross", (">", "<=")), ("i07_cross_down", ("<", ">="))
 
 @query("i13_atr", sql(f"SELECT symbol, {D}, {q6(roll('avg', 14, 'tr'))} AS atr14 FROM t", f"t AS (SELECT symbol, d, greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')})) AS tr FROM b)"))
 def i13_atr(spark: SparkSession, sf: str) -> DataFrame:
-    df = bars(spark, sf).withColumn("tr", S.true_range(F.col("high"), F.col("low"), C, LINE))
-    return out(df, atr14=r6(S.sma(F.col("tr"), 14, LINE)))
+    df = bars(spark, sf).withColumn("tr", S.true_range(F.col("high"), F.col("low"), C(), LINE()))
+    return out(df, atr14=r6(S.sma(F.col("tr"), 14, LINE())))
 
 
 #: y = alpha x + (1 - alpha) y' as recursion over the rows of a symbol.
@@ -143,42 +147,42 @@ def i15_sma_weighted(spark: SparkSession, sf: str) -> DataFrame:
 def w03_drawdown(spark: SparkSession, sf: str) -> DataFrame:
     from barloom.operators.panel import hfq
 
-    return out(bars(spark, sf).withColumn("h", hfq()), dd=r6(S.drawdown(F.col("h"), LINE)))
+    return out(bars(spark, sf).withColumn("h", hfq()), dd=r6(S.drawdown(F.col("h"), LINE())))
 
 
 @query("w04_growth", sql(f"SELECT symbol, {D}, round(product(1 + coalesce(r, 0)) OVER ({W} ROWS UNBOUNDED PRECEDING), 4) + 0.0 AS nav FROM m", f"m AS (SELECT symbol, d, CASE WHEN close > 0 AND pre_close > 0 THEN greatest(least(close / pre_close - 1, 0.3), -0.3) END AS r FROM b)"))
 def w04_growth(spark: SparkSession, sf: str) -> DataFrame:
     """Growth of daily moves held to 30 %."""
-    move = F.when((C > 0) & (F.col("pre_close") > 0), F.greatest(F.least(C / F.col("pre_close") - 1, F.lit(0.3)), F.lit(-0.3)))
-    return out(bars(spark, sf).withColumn("r", move), nav=F.round(S.growth(F.col("r"), LINE), 4) + F.lit(0.0))
+    move = F.when((C() > 0) & (F.col("pre_close") > 0), F.greatest(F.least(C() / F.col("pre_close") - 1, F.lit(0.3)), F.lit(-0.3)))
+    return out(bars(spark, sf).withColumn("r", move), nav=F.round(S.growth(F.col("r"), LINE()), 4) + F.lit(0.0))
 
 
 @query("w06_event_factor", sql(f"SELECT symbol, {D}, {q6(f'product(coalesce(ratio, 1)) OVER ({W} ROWS UNBOUNDED PRECEDING)')} AS factor FROM m", f"m AS (SELECT symbol, d, CASE WHEN pre_close > 0 AND {lag('close')} > 0 AND abs({lag('close')} / nullif(pre_close, 0) - 1) > 0.02 AND {lag('close')} / nullif(pre_close, 0) > 0.02 AND {lag('close')} / nullif(pre_close, 0) < 25 THEN {lag('close')} / pre_close END AS ratio FROM b)"))
 def w06_event_factor(spark: SparkSession, sf: str) -> DataFrame:
     """Factor as running product of the steps between a close and the next day's stated previous close."""
-    before = F.lag("close").over(LINE)
+    before = F.lag("close").over(LINE())
     step = F.try_divide(before, F.col("pre_close"))
     ratio = F.when((F.col("pre_close") > 0) & (before > 0) & (F.abs(step - 1) > 0.02) & (step > 0.02) & (step < 25), step)
-    return out(bars(spark, sf).withColumn("ratio", ratio), factor=r6(S.step_product(F.col("ratio"), LINE)))
+    return out(bars(spark, sf).withColumn("ratio", ratio), factor=r6(S.step_product(F.col("ratio"), LINE())))
 
 
 @query("w07_roll_factor", sql(f"SELECT symbol, {D}, round(product(f) OVER ({W} ROWS UNBOUNDED PRECEDING), 4) + 0.0 AS factor FROM m", f"m AS (SELECT symbol, d, CASE WHEN close > 0 AND {lag('close')} > 0 AND abs(close / {lag('close')} - 1) > 0.15 THEN {lag('close')} / close ELSE 1 END AS f FROM b)"))
 def w07_roll_factor(spark: SparkSession, sf: str) -> DataFrame:
-    return out(bars(spark, sf).withColumn("c", F.when(C > 0, C)), factor=F.round(S.roll_factor(F.col("c"), 0.15, LINE), 4) + F.lit(0.0))
+    return out(bars(spark, sf).withColumn("c", F.when(C() > 0, C())), factor=F.round(S.roll_factor(F.col("c"), 0.15, LINE()), 4) + F.lit(0.0))
 
 
 @query("w08_idle_streak", sql(f"""SELECT symbol, coalesce(max(n), 0) AS idle_days FROM (SELECT symbol, run, sum(z) AS n FROM m2 GROUP BY ALL) GROUP BY symbol""", f"m AS (SELECT symbol, d, (coalesce(volume, 1) <= 0)::INT AS z FROM b)", f"m1 AS (SELECT *, CASE WHEN z = {lag('z')} THEN 0 ELSE 1 END AS new FROM m)", f"m2 AS (SELECT *, sum(new) OVER ({W} ROWS UNBOUNDED PRECEDING) AS run FROM m1)"))
 def w08_idle_streak(spark: SparkSession, sf: str) -> DataFrame:
     """Longest run of bars without volume; a missing volume is no idle bar."""
     df = bars(spark, sf).withColumn("z", F.coalesce(F.col("volume") <= 0, F.lit(False)).cast("int"))
-    df = df.withColumn("new", S.run_id(F.col("z"), LINE)).withColumn("run", F.sum("new").over(LINE))
+    df = df.withColumn("new", S.run_id(F.col("z"), LINE())).withColumn("run", F.sum("new").over(LINE()))
     return df.groupBy("symbol", "run").agg(F.sum("z").alias("n")).groupBy("symbol").agg(F.max("n").alias("idle_days"))
 
 
 @query("w12_rolling_sharpe", sql(f"SELECT symbol, {D}, {q6(f'''({roll('avg', 60, 'r')}) / nullif({roll('stddev_samp', 60, 'r')}, 0) * sqrt(252)''')} AS sharpe60 FROM m", f"m AS (SELECT symbol, d, close / nullif({lag('close')}, 0) - 1 AS r FROM b)"))
 def w12_rolling_sharpe(spark: SparkSession, sf: str) -> DataFrame:
-    df = bars(spark, sf).withColumn("r", S.roc(C, 1, LINE))
-    return out(df, sharpe60=r6(F.try_divide(S.sma(F.col("r"), 60, LINE), S.deviation(F.col("r"), 60, LINE)) * F.sqrt(F.lit(252.0))))
+    df = bars(spark, sf).withColumn("r", S.roc(C(), 1, LINE()))
+    return out(df, sharpe60=r6(F.try_divide(S.sma(F.col("r"), 60, LINE()), S.deviation(F.col("r"), 60, LINE())) * F.sqrt(F.lit(252.0))))
 
 
 def factor_query(name: str, factor: str, text: str, more: tuple[str, ...] = (), source: str = "p", **params) -> None:

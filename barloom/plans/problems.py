@@ -134,7 +134,7 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_differences, p2_found, p2_values
 
 #: DuckDB expressions for the raw forms.
 SQL_SYMBOL = "regexp_extract({0}, '([0-9]{{6}})', 1) || '.' || regexp_extract(upper({0}), '(SH|SZ|BJ)', 1)"
-SQL_VALUE = "CASE WHEN NOT isnan({0}) THEN {0} END"
+SQL_VALUE = "CASE WHEN {0}::VARCHAR <> 'nan' THEN {0} END"
 SQL_DIFFER = "CASE WHEN {0} IS NULL OR {1} IS NULL THEN ({0} IS NULL) <> ({1} IS NULL) ELSE abs({0} - {1}) > 1e-5 * greatest(abs({0}), abs({1})) END"
 SQL_NARROW = "translate({0}, '０１２３４５６７８９－／', '0123456789-/')"
 SQL_DAY = f"""CASE
@@ -152,7 +152,7 @@ _COPIES = f"""
     m AS (SELECT coalesce(b.symbol, x.symbol) AS symbol, coalesce(b.d, x.d) AS d, b.symbol IS NULL AS nob, x.symbol IS NULL AS nox, b.f AS bf, x.f AS xf, b.p AS bp, x.p AS xp
           FROM b FULL JOIN x ON b.symbol = x.symbol AND b.d = x.d)"""
 _GRID = """
-    bars AS (SELECT symbol, date::DATE AS d, max_by(struct_pack(close := close, adj_factor := CASE WHEN NOT isnan(adj_factor) THEN adj_factor END, volume := CASE WHEN NOT isnan(volume) THEN volume END), updated_at) AS v FROM daily_bars GROUP BY ALL),
+    bars AS (SELECT symbol, date::DATE AS d, max_by(struct_pack(close := close, adj_factor := CASE WHEN adj_factor::VARCHAR <> 'nan' THEN adj_factor END, volume := CASE WHEN volume::VARCHAR <> 'nan' THEN volume END), updated_at) AS v FROM daily_bars GROUP BY ALL),
     span AS (SELECT symbol, min(d) AS a, max(d) AS z FROM bars GROUP BY 1),
     grid AS (SELECT symbol, c.date AS d FROM span JOIN (SELECT DISTINCT date FROM calendar WHERE date IS NOT NULL) c ON c.date BETWEEN a AND z)"""
 _SNAPS = f"""

@@ -14,8 +14,10 @@ from barloom.sources.store import incremental_start, keep_last, merge_bars, sear
 
 QUERIES: dict = {}
 SQL: dict = {}
-C = F.col("close")
-LINE = S.line("symbol")
+
+
+def C():
+    return F.col("close")
 
 
 def query(name: str, text: str | None = None):
@@ -92,8 +94,8 @@ FILLED = f"coalesce(last_value(ratio IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PREC
 def landing(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """A raw feed table and its adjusted closes, made from the store."""
     b = bars(spark, sf)
-    raw = b.select("symbol", "date", "open", "high", "low", "close", "volume", "amount", (C - F.col("pre_close")).alias("change"), (F.col("turnover_rate") / 100).alias("turnover"))
-    return raw, b.select("symbol", "date", (C * F.col("adj_factor")).alias("close"))
+    raw = b.select("symbol", "date", "open", "high", "low", "close", "volume", "amount", (C() - F.col("pre_close")).alias("change"), (F.col("turnover_rate") / 100).alias("turnover"))
+    return raw, b.select("symbol", "date", (C() * F.col("adj_factor")).alias("close"))
 
 
 @query("s14_with_change", sql(f"SELECT symbol, {D}, {q6('close - (close - pre_close)')} AS pre_close, {q6(FILLED)} AS adj_factor FROM z", HFQ))
@@ -162,7 +164,7 @@ def pr03_validation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("pr04_adjust", sql(f"SELECT symbol, {D}, close AS raw, {q6('close * coalesce(adj_factor, 1)')} AS hfq, {q6('close * coalesce(adj_factor, 1) / coalesce(nullif(lf, 0), 1)')} AS qfq FROM b LEFT JOIN l USING (symbol)", "l AS (SELECT symbol, arg_max(adj_factor, d) FILTER (adj_factor IS NOT NULL) AS lf FROM b GROUP BY symbol)"))
 def pr04_adjust(spark: SparkSession, sf: str) -> DataFrame:
-    b = bars(spark, sf).withColumn("raw", C)
+    b = bars(spark, sf).withColumn("raw", C())
     q = P.adjust(b, "qfq").withColumn("h", F.col("raw") * F.coalesce("adj_factor", F.lit(1.0)))
     return q.select("symbol", day().alias("date"), "raw", r6("h").alias("hfq"), r6("close").alias("qfq"))
 
@@ -237,7 +239,7 @@ def pr13_expiry(spark: SparkSession, sf: str) -> DataFrame:
     return contract_symbols(spark, sf).select("p_partkey", "symbol", day(K.contract_expiry(F.col("symbol"))).alias("expiry"))
 
 
-@query("pr14_json_safe", "SELECT delivery_id, CASE WHEN isnan(close) OR isinf(close) THEN NULL ELSE close END AS close, strftime(fetched_at, '%Y-%m-%dT%H:%M:%S') AS fetched_at FROM source_bars")
+@query("pr14_json_safe", "SELECT delivery_id, CASE WHEN close::VARCHAR NOT IN ('nan', 'inf', '-inf') THEN close END AS close, strftime(fetched_at, '%Y-%m-%dT%H:%M:%S') AS fetched_at FROM source_bars")
 def pr14_json_safe(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("close")
     return table(spark, sf, "source_bars").select("delivery_id", F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c).alias("close"), F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss").alias("fetched_at"))
@@ -334,7 +336,7 @@ def j17_trading_days(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("signal_id", day("third_after").alias("third_after"), day("second_before").alias("second_before"))
 
 
-@query("w18_ttm", f"""WITH r AS (SELECT code, period, arg_max(profit, (ann_date, report_id)) AS profit FROM (SELECT y.report_id, z.code, z.period, z.ann_date, CASE WHEN NOT isnan(y.profit) THEN y.profit END AS profit FROM yjbb y JOIN ({SQL_REPORTS}) z USING (report_id)) WHERE profit IS NOT NULL AND ann_date IS NOT NULL AND code IS NOT NULL AND period IS NOT NULL GROUP BY ALL),
+@query("w18_ttm", f"""WITH r AS (SELECT code, period, arg_max(profit, (ann_date, report_id)) AS profit FROM (SELECT y.report_id, z.code, z.period, z.ann_date, CASE WHEN y.profit::VARCHAR <> 'nan' THEN y.profit END AS profit FROM yjbb y JOIN ({SQL_REPORTS}) z USING (report_id)) WHERE profit IS NOT NULL AND ann_date IS NOT NULL AND code IS NOT NULL AND period IS NOT NULL GROUP BY ALL),
     q AS (SELECT *, lag(profit) OVER w AS pp, lag(period) OVER w AS pd FROM r WINDOW w AS (PARTITION BY code ORDER BY period)),
     s AS (SELECT code, period, profit - CASE WHEN year(pd) = year(period) AND quarter(pd) = quarter(period) - 1 THEN pp ELSE 0 END AS single FROM q)
     SELECT code, strftime(period, '%Y-%m-%d') AS period, round(single, 2) AS single, CASE WHEN count(*) OVER f = 4 THEN round(sum(single) OVER f, 1) END AS ttm FROM s WINDOW f AS (PARTITION BY code ORDER BY period ROWS 3 PRECEDING)""")
@@ -351,14 +353,14 @@ def w18_ttm(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("f08_fundamentals", f"""SELECT q.symbol, strftime(q.d, '%Y-%m-%d') AS date, roe, gpm, round(CASE WHEN q.close > 0 THEN bvps / q.close END, 6) AS bp FROM (SELECT symbol, date::DATE AS d, max_by(close, updated_at) AS close FROM daily_bars GROUP BY ALL) q
-    ASOF LEFT JOIN (SELECT z.code, z.ann_date, arg_max({{'roe': CASE WHEN NOT isnan(y.roe) THEN y.roe END, 'gpm': CASE WHEN NOT isnan(y.gpm) THEN y.gpm END, 'bvps': CASE WHEN NOT isnan(y.bvps) THEN y.bvps END}}, (z.period, report_id)) AS v FROM yjbb y JOIN ({SQL_REPORTS}) z USING (report_id) WHERE z.ann_date > z.period AND z.code IS NOT NULL GROUP BY ALL) r ON substr(q.symbol, 1, 6) = r.code AND q.d >= r.ann_date""".replace("roe, gpm, round(CASE WHEN q.close > 0 THEN bvps / q.close END, 6) AS bp FROM", "v.roe AS roe, v.gpm AS gpm, round(CASE WHEN q.close > 0 THEN v.bvps / q.close END, 6) AS bp FROM"))
+    ASOF LEFT JOIN (SELECT z.code, z.ann_date, arg_max({{'roe': CASE WHEN y.roe::VARCHAR <> 'nan' THEN y.roe END, 'gpm': CASE WHEN y.gpm::VARCHAR <> 'nan' THEN y.gpm END, 'bvps': CASE WHEN y.bvps::VARCHAR <> 'nan' THEN y.bvps END}}, (z.period, report_id)) AS v FROM yjbb y JOIN ({SQL_REPORTS}) z USING (report_id) WHERE z.ann_date > z.period AND z.code IS NOT NULL GROUP BY ALL) r ON substr(q.symbol, 1, 6) = r.code AND q.d >= r.ann_date""".replace("roe, gpm, round(CASE WHEN q.close > 0 THEN bvps / q.close END, 6) AS bp FROM", "v.roe AS roe, v.gpm AS gpm, round(CASE WHEN q.close > 0 THEN v.bvps / q.close END, 6) AS bp FROM"))
 def f08_fundamentals(spark: SparkSession, sf: str) -> DataFrame:
     """Figures as last announced before each bar, and book value over price."""
     y = table(spark, sf, "yjbb").select(F.col("report_id").alias("__id"), clean.present("gpm").alias("gpm"), clean.present("bvps").alias("bvps"))
     said = reports(spark, sf).where("code is not null and ann_date > period").join(y, F.col("report_id") == F.col("__id"))
     b = bars(spark, sf).select("symbol", "date", "close", F.substring("symbol", 1, 6).alias("code"))
     k = known_at(b, said, event_entity="code", event_time="date", entity="code", known="ann_date", rank=["ann_date", "period", "report_id"], attributes=["roe", "gpm", "bvps"])
-    return k.select("symbol", day().alias("date"), "roe", "gpm", F.round(F.when(C > 0, F.col("bvps") / C), 6).alias("bp"))
+    return k.select("symbol", day().alias("date"), "roe", "gpm", F.round(F.when(C() > 0, F.col("bvps") / C()), 6).alias("bp"))
 
 
 # Health, upserts, set operations.
@@ -475,7 +477,7 @@ def w11_benchmark_base(spark: SparkSession, sf: str) -> DataFrame:
     """Closes over the last close before the start."""
     b = bars(spark, sf)
     base = b.where("date < '2024-06-01'").groupBy("symbol").agg(F.max_by("close", "date").alias("base"))
-    return b.where("date >= '2024-06-01'").join(base, "symbol").select("symbol", day().alias("date"), r6(F.try_divide(C, F.col("base"))).alias("rel"))
+    return b.where("date >= '2024-06-01'").join(base, "symbol").select("symbol", day().alias("date"), r6(F.try_divide(C(), F.col("base"))).alias("rel"))
 
 
 @query("t04_duplicate_orders", "SELECT signal_id, repeated FROM (SELECT signal_id, coalesce(date_diff('second', lag(ts) OVER (PARTITION BY symbol, strategy, side ORDER BY ts, signal_id), ts) <= 86400, false) AS repeated FROM signals)")

@@ -25,27 +25,32 @@ def query(name: str, text: str | None = None):
 
 
 # Cross-sections of the close and turnover of each date.
-T, C = F.col("turnover_rate"), F.col("close")
+def T():
+    return F.col("turnover_rate")
+
+
+def C():
+    return F.col("close")
 
 
 def over_dates(name: str, column, text: str, *more: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return bars(spark, sf).select("symbol", day().alias("date"), column.alias("value"))
+        return bars(spark, sf).select("symbol", day().alias("date"), column().alias("value"))
 
     run.__name__ = name
     QUERIES[name] = run
     SQL[name] = sql(f"SELECT symbol, {D}, {text} AS value FROM b", *more)
 
 
-over_dates("x02_winsorize_quantile", r6(X.winsorize_quantile(T, ["date"])), q6("CASE WHEN turnover_rate IS NOT NULL THEN least(greatest(turnover_rate, quantile_cont(turnover_rate, 0.01) OVER (PARTITION BY d)), quantile_cont(turnover_rate, 0.99) OVER (PARTITION BY d)) END"))
-over_dates("x03_zscore", r6(X.zscore(T, ["date"])), q6("CASE WHEN stddev_pop(turnover_rate) OVER (PARTITION BY d) > 1e-12 THEN (turnover_rate - avg(turnover_rate) OVER (PARTITION BY d)) / stddev_pop(turnover_rate) OVER (PARTITION BY d) END"))
-over_dates("x04_rank_pct", r6(X.rank_pct(T, ["date"])), q6(rank_pct("turnover_rate", "d")))
-over_dates("x06_quantile_group", X.quantile_group(X.rank_pct(T, ["date"]), 5), f"least(greatest(ceil(({rank_pct('turnover_rate', 'd')}) * 5), 1), 5)::INT")
-over_dates("x10_composite", r6((X.rank_pct(T, ["date"]) + X.rank_pct(C, ["date"])) / 2), q6(f"(({rank_pct('turnover_rate', 'd')}) + ({rank_pct('close', 'd')})) / 2"))
-over_dates("x11_demean", F.round(X.demean(T, ["date"]), 10) + F.lit(0.0), "round(turnover_rate - avg(turnover_rate) OVER (PARTITION BY d), 10) + 0.0")
-over_dates("x12_standardize", r6(X.zscore(T, ["date"], sample=True)), q6("CASE WHEN stddev_samp(turnover_rate) OVER (PARTITION BY d) > 1e-12 THEN (turnover_rate - avg(turnover_rate) OVER (PARTITION BY d)) / stddev_samp(turnover_rate) OVER (PARTITION BY d) END"))
+over_dates("x02_winsorize_quantile", lambda: r6(X.winsorize_quantile(T(), ["date"])), q6("CASE WHEN turnover_rate IS NOT NULL THEN least(greatest(turnover_rate, quantile_cont(turnover_rate, 0.01) OVER (PARTITION BY d)), quantile_cont(turnover_rate, 0.99) OVER (PARTITION BY d)) END"))
+over_dates("x03_zscore", lambda: r6(X.zscore(T(), ["date"])), q6("CASE WHEN stddev_pop(turnover_rate) OVER (PARTITION BY d) > 1e-12 THEN (turnover_rate - avg(turnover_rate) OVER (PARTITION BY d)) / stddev_pop(turnover_rate) OVER (PARTITION BY d) END"))
+over_dates("x04_rank_pct", lambda: r6(X.rank_pct(T(), ["date"])), q6(rank_pct("turnover_rate", "d")))
+over_dates("x06_quantile_group", lambda: X.quantile_group(X.rank_pct(T(), ["date"]), 5), f"least(greatest(ceil(({rank_pct('turnover_rate', 'd')}) * 5), 1), 5)::INT")
+over_dates("x10_composite", lambda: r6((X.rank_pct(T(), ["date"]) + X.rank_pct(C(), ["date"])) / 2), q6(f"(({rank_pct('turnover_rate', 'd')}) + ({rank_pct('close', 'd')})) / 2"))
+over_dates("x11_demean", lambda: F.round(X.demean(T(), ["date"]), 10) + F.lit(0.0), "round(turnover_rate - avg(turnover_rate) OVER (PARTITION BY d), 10) + 0.0")
+over_dates("x12_standardize", lambda: r6(X.zscore(T(), ["date"], sample=True)), q6("CASE WHEN stddev_samp(turnover_rate) OVER (PARTITION BY d) > 1e-12 THEN (turnover_rate - avg(turnover_rate) OVER (PARTITION BY d)) / stddev_samp(turnover_rate) OVER (PARTITION BY d) END"))
 over_dates(
-    "x05_neutralize", r6(X.residual(T, F.log(F.when(F.col("amount") > 0, F.col("amount"))), ["date"])),
+    "x05_neutralize", lambda: r6(X.residual(T(), F.log(F.when(F.col("amount") > 0, F.col("amount"))), ["date"])),
     q6("CASE WHEN count(turnover_rate) OVER w > 2 AND count(xx) OVER w = count(turnover_rate) OVER w THEN turnover_rate - avg(turnover_rate) OVER w - coalesce(covar_pop(turnover_rate, xx) OVER w / nullif(var_pop(xx) OVER w, 0), 0) * (xx - avg(xx) OVER w) END").replace("OVER w", "OVER (PARTITION BY d)"),
 )
 SQL["x05_neutralize"] = SQL["x05_neutralize"].replace("FROM b", "FROM (SELECT *, CASE WHEN turnover_rate IS NOT NULL AND amount > 0 THEN ln(amount) END AS xx FROM b) b2")
@@ -57,7 +62,7 @@ SQL["x05_neutralize"] = SQL["x05_neutralize"].replace("FROM (SELECT *, CASE WHEN
 def x01_winsorize_mad(spark: SparkSession, sf: str) -> DataFrame:
     """Clipped to three scaled median deviations around the median; no clipping where they are nil."""
     w = Window.partitionBy("date")
-    m = bars(spark, sf).select("symbol", "date", T.alias("x")).withColumn("med", F.median("x").over(w)).withColumn("mad", F.median(F.abs(F.col("x") - F.col("med"))).over(w))
+    m = bars(spark, sf).select("symbol", "date", T().alias("x")).withColumn("med", F.median("x").over(w)).withColumn("mad", F.median(F.abs(F.col("x") - F.col("med"))).over(w))
     width = 3 * 1.4826 * F.col("mad")
     clipped = F.when(F.col("x").isNotNull(), F.when(F.col("mad") > 0, F.least(F.greatest(F.col("x"), F.col("med") - width), F.col("med") + width)).otherwise(F.col("x")))
     return m.select("symbol", day().alias("date"), r6(clipped).alias("value"))
@@ -121,7 +126,7 @@ RET = f"rt AS (SELECT symbol, d, nav, nav / nullif({lag('nav')}, 0) - 1 AS ret,
 
 
 def navs(spark: SparkSession, sf: str) -> DataFrame:
-    move = F.when((C > 0) & (F.col("pre_close") > 0), F.greatest(F.least(C / F.col("pre_close") - 1, F.lit(0.3)), F.lit(-0.3)))
+    move = F.when((C() > 0) & (F.col("pre_close") > 0), F.greatest(F.least(C() / F.col("pre_close") - 1, F.lit(0.3)), F.lit(-0.3)))
     return bars(spark, sf).select("symbol", "date", move.alias("r")).select("symbol", "date", S.growth(F.col("r"), S.line("symbol")).alias("nav"))
 
 
@@ -195,9 +200,9 @@ def a19_breadth(spark: SparkSession, sf: str) -> DataFrame:
     from barloom.functions.market import limit_ratio
 
     df = bars(spark, sf).select(
-        "date", "close", "amount", (F.try_divide(C, F.col("pre_close")) - 1).alias("ret"),
-        F.coalesce((C >= F.col("pre_close") * (1 + limit_ratio(F.col("symbol"))) * 0.998) & (C == F.col("high")), F.lit(False)).alias("up"),
-        F.coalesce(C >= S.hhv(C, 20, S.line("symbol")), F.lit(False)).alias("high20"),
+        "date", "close", "amount", (F.try_divide(C(), F.col("pre_close")) - 1).alias("ret"),
+        F.coalesce((C() >= F.col("pre_close") * (1 + limit_ratio(F.col("symbol"))) * 0.998) & (C() == F.col("high")), F.lit(False)).alias("up"),
+        F.coalesce(C() >= S.hhv(C(), 20, S.line("symbol")), F.lit(False)).alias("high20"),
     )
     return df.groupBy("date").agg(F.count_if("up").alias("limit_up_n"), r6(F.try_divide(F.count_if(F.col("ret") > 0), F.count("ret"))).alias("up_ratio"), r6(F.median("ret")).alias("med_ret"), r6(F.try_divide(F.count_if("high20"), F.count("close"))).alias("new_high_20"), F.round(F.sum("amount"), 0).alias("amount")).withColumn("date", day())
 
@@ -206,7 +211,7 @@ def a19_breadth(spark: SparkSession, sf: str) -> DataFrame:
     "m AS (SELECT symbol, d, CASE WHEN close > 0 AND pre_close > 0 THEN greatest(least(close / pre_close - 1, 0.3), -0.3) END AS r FROM b)", "dummy AS (SELECT 1)").replace("FROM m x", "FROM (SELECT * FROM m WHERE r IS NOT NULL AND symbol LIKE '%.SZ') x").replace("JOIN m y", "JOIN (SELECT * FROM m WHERE r IS NOT NULL AND symbol LIKE '%.SZ') y"))
 def a20_covariance(spark: SparkSession, sf: str) -> DataFrame:
     """Covariance of daily moves of one exchange's symbols, over common days; 20 at least."""
-    move = F.when((C > 0) & (F.col("pre_close") > 0), F.greatest(F.least(C / F.col("pre_close") - 1, F.lit(0.3)), F.lit(-0.3)))
+    move = F.when((C() > 0) & (F.col("pre_close") > 0), F.greatest(F.least(C() / F.col("pre_close") - 1, F.lit(0.3)), F.lit(-0.3)))
     m = bars(spark, sf).where(F.col("symbol").endswith(".SZ")).select("symbol", "date", move.alias("r")).where("r is not null")
     a, b = m.withColumnsRenamed({"symbol": "sym_a", "r": "ra"}), m.withColumnsRenamed({"symbol": "sym_b", "r": "rb"})
     return a.join(b, "date").where("sym_a <= sym_b").groupBy("sym_a", "sym_b").agg((F.round(F.covar_samp("ra", "rb"), 8) + F.lit(0.0)).alias("cov"), F.count(F.lit(1)).alias("n")).where("n >= 20")
@@ -269,8 +274,8 @@ def b02_screen(spark: SparkSession, sf: str) -> DataFrame:
     f"t4 AS (SELECT *, max(nav) OVER ({W} ROWS UNBOUNDED PRECEDING) AS pk, max(bh) OVER ({W} ROWS UNBOUNDED PRECEDING) AS bpk FROM t3)"))
 def b03_timing(spark: SparkSession, sf: str) -> DataFrame:
     w = S.line("symbol")
-    move = F.when((C > 0) & (F.col("pre_close") > 0), F.greatest(F.least(C / F.col("pre_close") - 1, F.lit(0.3)), F.lit(-0.3)))
-    s = bars(spark, sf).select("symbol", "date", F.round(C - S.sma(C, 20, w), 8).alias("sig"), move.alias("ret"))
+    move = F.when((C() > 0) & (F.col("pre_close") > 0), F.greatest(F.least(C() / F.col("pre_close") - 1, F.lit(0.3)), F.lit(-0.3)))
+    s = bars(spark, sf).select("symbol", "date", F.round(C() - S.sma(C(), 20, w), 8).alias("sig"), move.alias("ret"))
     t = V.timing(s, "symbol")
     return t.select("symbol", F.round("annual", 4).alias("annual"), r6("max_dd").alias("max_dd"), r6("position_ratio").alias("position_ratio"), F.round("bh_annual", 4).alias("bh_annual"), r6("bh_max_dd").alias("bh_max_dd"), "n_switches")
 

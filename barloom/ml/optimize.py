@@ -46,12 +46,15 @@ def mean_variance(mu: np.ndarray, sigma: np.ndarray, aversion: float = 2.0, long
 
 
 def risk_parity(sigma: np.ndarray, tolerance: float = 1e-10, most: int = 500) -> np.ndarray:
-    """Fixed point of w proportional to 1 / (Sw)."""
+    """Fixed point of w proportional to 1 / (Sw): equal contributions to risk.
+
+    Each step goes to the geometric mean of the weights and their image, as the plain iteration alternates where correlations are low.
+    """
     sigma = np.asarray(sigma, dtype=float)
     w = np.full(len(sigma), 1 / len(sigma))
     for _ in range(most):
-        inverse = 1 / (sigma @ w)
-        new = inverse / inverse.sum()
+        new = np.sqrt(w / (sigma @ w))
+        new = new / new.sum()
         if np.max(np.abs(new - w)) < tolerance:
             break
         w = new

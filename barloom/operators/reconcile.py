@@ -36,7 +36,7 @@ def guard(orders: DataFrame, allowed: DataFrame, most: float, at: str = "ts") ->
 
 def fingerprint(symbol: Column, side: Column, qty: Column, price: Column) -> Column:
     """What makes two orders the same: symbol, side, quantity, price to four places."""
-    return F.concat_ws("|", F.upper(symbol), side, qty.cast("long").cast("string"), F.format_number(price, "0.0000"))
+    return F.concat_ws("|", F.upper(symbol), side, qty.cast("long").cast("string"), F.format_string("%.4f", price))
 
 
 def compare_runs(runs: DataFrame, ids: Sequence[str]) -> DataFrame:

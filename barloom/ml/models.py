@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.operators.analysis import ic_summary, rank_ic
+from barloom.session import stage_table
 
 
 def ridge(x: np.ndarray, y: np.ndarray, strength: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -28,7 +29,7 @@ def predict_linear(dataset: DataFrame, splits: DataFrame, features: Sequence[str
     the coefficients. Splits with under ``least_train`` train rows or ``least_test`` test rows are left out. ``importance`` is the share of the
     absolute coefficients on standardised features.
     """
-    joined = dataset.join(splits, "date")
+    joined = stage_table(dataset.join(splits, "date").select("split", "part", "symbol", "date", *features, label), "learn")  # read by both parts
     train, test = joined.where("part = 'train'"), joined.where("part = 'test'")
     k = len(features)
     names = [*features, label]

@@ -58,7 +58,8 @@ def densify(bars: DataFrame, columns: Sequence[str]) -> DataFrame:
     grid = symbols.join(years, "__y").select("symbol", F.explode("__days").alias("date"))
     empty = bars.schema
     marked = grid.select("symbol", "date", *[F.lit(None).cast(empty[c].dataType).alias(c) for c in columns])
-    return marked.unionByName(bars.select("symbol", "date", *columns)).groupBy("symbol", "date").agg(*[F.max(c).alias(c) for c in columns])
+    # partitioned by symbol alone, the aggregation and all windows over a symbol that follow need no further shuffle
+    return marked.unionByName(bars.select("symbol", "date", *columns)).repartition("symbol").groupBy("symbol", "date").agg(*[F.max(c).alias(c) for c in columns])
 
 
 def trading_days(calendar: DataFrame) -> DataFrame:

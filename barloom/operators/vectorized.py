@@ -8,31 +8,34 @@ from barloom.functions import cross as X, series as S
 from barloom.functions.clean import ratio
 
 
-def weights_from_factor(values: DataFrame, value: str = "value", *, top: float = 0.2, bottom: float = 0.2, gross: float = 1.0, min_stocks: int = 3) -> DataFrame:
-    """(symbol, date, weight): the top share long, the bottom share short, each equally, absolute weights adding up to ``gross``.
+def weights_from_factor(values: DataFrame, value: str = "value", *, top: float = 0.2, bottom: float = 0.2, gross: float = 1.0, min_stocks: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(symbol, date, weight, and the columns to ``keep``): the top share long, the bottom share short, each equally, absolute weights adding up to ``gross``.
 
     NULL for names in neither leg and on dates with too few values; a name in both legs is short.
     """
     if not 0 < top <= 1 or not 0 <= bottom <= 1 or top + bottom > 1:
         raise ValueError("top in (0, 1], bottom in [0, 1], together at most 1")
     day = Window.partitionBy("date")
-    pct = values.select("symbol", "date", X.rank_pct(F.col(value), ["date"]).alias("pct"), F.count(value).over(day).alias("n"))
-    legs = pct.select("symbol", "date", "n", (F.coalesce(F.col("pct") >= 1 - top, F.lit(False))).alias("up"), (F.coalesce(F.col("pct") <= bottom, F.lit(False))).alias("down"))
+    pct = values.select("symbol", "date", *keep, X.rank_pct(F.col(value), ["date"]).alias("pct"), F.count(value).over(day).alias("n"))
+    legs = pct.select("symbol", "date", *keep, "n", (F.coalesce(F.col("pct") >= 1 - top, F.lit(False))).alias("up"), (F.coalesce(F.col("pct") <= bottom, F.lit(False))).alias("down"))
     ups, downs = F.count_if("up").over(day), F.count_if("down").over(day)
     total = (ups > 0).cast("int") + (downs > 0).cast("int")
     raw = F.when(F.col("down"), -ratio(F.lit(1.0), downs)).when(F.col("up"), ratio(F.lit(1.0), ups))
-    return legs.select("symbol", "date", F.when(F.col("n") >= min_stocks, raw * (ratio(F.lit(gross), total) if gross > 0 else F.lit(1.0))).alias("weight"))
+    return legs.select("symbol", "date", *keep, F.when(F.col("n") >= min_stocks, raw * (ratio(F.lit(gross), total) if gross > 0 else F.lit(1.0))).alias("weight"))
 
 
-def portfolio(weights: DataFrame, prices: DataFrame, *, price: str = "h", fee_rate: float = 1.5e-4, lag: int = 1) -> DataFrame:
+def portfolio(weights: DataFrame, prices: DataFrame | None = None, *, price: str = "h", fee_rate: float = 1.5e-4, lag: int = 1) -> DataFrame:
     """(date, gross, turnover, net, nav). Weights decided at a close act on the return ``lag`` dates later; missing weights are 0.
 
-    ``prices`` is a dense panel; returns bridge gaps. Only the daily sums go through the final single-partition product: a row per date.
+    ``prices`` is a dense panel; without it, ``weights`` is one that has the price too, and no join is needed. Returns bridge gaps. Only the daily sums go through the final single-partition product: a row per date.
     """
     if lag < 1 or fee_rate < 0:
         raise ValueError("lag is at least 1 and fee_rate not negative")
     w = S.line("symbol")
-    joined = prices.select("symbol", "date", F.col(price).alias("p")).join(weights.select("symbol", "date", "weight"), ["symbol", "date"], "left")
+    if prices is None:
+        joined = weights.select("symbol", "date", F.col(price).alias("p"), "weight")
+    else:
+        joined = prices.select("symbol", "date", F.col(price).alias("p")).join(weights.select("symbol", "date", "weight"), ["symbol", "date"], "left")
     held = joined.select("symbol", "date", F.coalesce(F.lag("weight", lag).over(w), F.lit(0.0)).alias("w"), S.change(F.col("p"), w).alias("r"))
     moved = held.select("date", "w", "r", F.abs(F.col("w") - F.lag("w").over(w)).alias("dw"))
     daily = moved.groupBy("date").agg(F.coalesce(F.sum(F.col("w") * F.col("r")), F.lit(0.0)).alias("gross"), (F.coalesce(F.sum("dw"), F.lit(0.0)) / 2).alias("turnover"))
@@ -60,14 +63,15 @@ def hold_top(values: DataFrame, days: DataFrame, n: int, value: str = "value") -
     return target.select("symbol", "date", F.coalesce(S.fill_forward(F.col("t"), S.line("symbol")), F.lit(0.0)).alias("weight"))
 
 
-def drifted(weights: DataFrame, returns: DataFrame) -> DataFrame:
+def drifted(weights: DataFrame, returns: DataFrame | None = None) -> DataFrame:
     """Weights set on rebalance days, drifting with returns in between: w is proportional to the set weight times growth since then.
 
     ``weights``: symbol, date, target (NULL except on rebalance days). ``returns``: symbol, date, ret on the same dense grid; a missing
-    return counts as 0. Growth of a day acts from the next date on. Dates before the first rebalance have weight 0.
+    return counts as 0; without ``returns``, ``weights`` has ``ret`` too. Growth of a day acts from the next date on. Dates before the first rebalance have weight 0.
     """
     w = S.line("symbol")
-    both = returns.select("symbol", "date", F.coalesce("ret", F.lit(0.0)).alias("r")).join(weights.select("symbol", "date", "target"), ["symbol", "date"], "left")
+    joined = weights if returns is None else returns.select("symbol", "date", "ret").join(weights.select("symbol", "date", "target"), ["symbol", "date"], "left")
+    both = joined.select("symbol", "date", F.coalesce("ret", F.lit(0.0)).alias("r"), "target")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     spans = both.select("symbol", "date", "target", F.lag("r", 1, 0.0).over(w).alias("before"), F.count("target").over(upto).alias("span"))
     span = Window.partitionBy("symbol", "span").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from barloom.functions import cross as X, series as S
 from barloom.operators import analysis as A, factors, metrics as M, vectorized as V
-
 from barloom.plans.base import D, W, bars, day, dense, lag, q6, r6, rank_avg, rank_pct, roll, sql
+from barloom.session import stage_table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -89,9 +89,9 @@ def a01_rank_ic(spark: SparkSession, sf: str) -> DataFrame:
     return A.rank_ic(momentum_panel(spark, sf)).select(day().alias("date"), r6("rank_ic").alias("rank_ic"), "n")
 
 
-@query("a02_ic_summary", sql(f"SELECT {q6('avg(rank_ic)')} AS ic_mean, {q6('stddev_samp(rank_ic)')} AS ic_std, {q6('avg(rank_ic) / stddev_samp(rank_ic)')} AS ic_ir, round(avg(rank_ic) / stddev_samp(rank_ic) * sqrt(count(*)), 5) AS ic_t_stat, count(*) AS n_days, {q6('avg((rank_ic > 0)::INT)')} AS positive_ratio FROM ic", MOM, PAIRS, RANKED, IC, panel=True))
+@query("a02_ic_summary", sql(f"SELECT {q6('avg(rank_ic)')} AS ic_mean, {q6('stddev_samp(rank_ic)')} AS ic_std, {q6('avg(rank_ic) / stddev_samp(rank_ic)')} AS ic_ir, round(avg(rank_ic) / stddev_samp(rank_ic) * sqrt(count(*)), 5) AS ic_t_stat, count(*) AS n_days, {q6('avg((round(rank_ic, 10) > 0)::INT)')} AS positive_ratio FROM ic", MOM, PAIRS, RANKED, IC, panel=True))
 def a02_ic_summary(spark: SparkSession, sf: str) -> DataFrame:
-    s = A.ic_summary(A.rank_ic(momentum_panel(spark, sf)))
+    s = A.ic_summary(A.rank_ic(momentum_panel(spark, sf)).withColumn("rank_ic", F.round("rank_ic", 10)))
     return s.select(r6("ic_mean").alias("ic_mean"), r6("ic_std").alias("ic_std"), r6("ic_ir").alias("ic_ir"), F.round("ic_t_stat", 5).alias("ic_t_stat"), "n_days", r6("positive_ratio").alias("positive_ratio"))
 
 
@@ -247,11 +247,11 @@ def x07_weights(spark: SparkSession, sf: str) -> DataFrame:
 for _name, _lag in (("b01_backtest", 1), ("b01_backtest_lag3", 3)):
     def _bt(spark: SparkSession, sf: str, lag: int = _lag) -> DataFrame:
         p = held_prices(spark, sf)
-        d = V.portfolio(V.weights_from_factor(p), p, lag=lag)
-        return d.select(day().alias("date"), r6("gross").alias("gross"), r6("turnover").alias("turnover"), r6("net").alias("net"), F.round("nav", 5).alias("nav"))
+        d = V.portfolio(V.weights_from_factor(p, keep=("h",)), lag=lag)
+        return d.select(day().alias("date"), *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("gross", "turnover", "net")], F.round("nav", 5).alias("nav"))
 
     QUERIES[_name] = _bt
-    SQL[_name] = sql(f"SELECT {D}, {q6('gross')} AS gross, {q6('turnover')} AS turnover, {q6('net')} AS net, round(nav, 5) AS nav FROM bt", MOM, WEIGHTS, *_backtest(_lag), panel=True)
+    SQL[_name] = sql(f"SELECT {D}, round(gross, 9) + 0.0 AS gross, round(turnover, 9) + 0.0 AS turnover, round(net, 9) + 0.0 AS net, round(nav, 5) AS nav FROM bt", MOM, WEIGHTS, *_backtest(_lag), panel=True)
 
 
 @query("b02_screen", sql(
@@ -259,8 +259,7 @@ for _name, _lag in (("b01_backtest", 1), ("b01_backtest_lag3", 3)):
     MOM, WEIGHTS, *_backtest(1), panel=True))
 def b02_screen(spark: SparkSession, sf: str) -> DataFrame:
     """Factor to weights to backtest to measures in one plan."""
-    p = held_prices(spark, sf)
-    d = V.portfolio(V.weights_from_factor(p), p)
+    d = stage_table(V.portfolio(V.weights_from_factor(held_prices(spark, sf), keep=("h",))), "screen")  # a row per date
     m = M.summarize(d.withColumn("run", F.lit(1)), ["run"])
     return d.agg(F.avg("turnover").alias("t"), F.lit(1).alias("k")).join(m, F.col("k") == F.col("run")).select("n", r6("total_return").alias("total_return"), r6("max_drawdown").alias("max_drawdown"), r6("t").alias("mean_turnover"))
 
@@ -287,7 +286,7 @@ TARGET = "tg AS (SELECT m.symbol, m.d, CASE WHEN rb.d IS NOT NULL AND count(valu
 @query("x08_hold_top", sql(f"SELECT symbol, {D}, w AS weight FROM (SELECT symbol, d, coalesce(last_value(t IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING), 0)::DOUBLE AS w FROM tg) WHERE w > 0", MOM, REB, TARGET, panel=True))
 def x08_hold_top(spark: SparkSession, sf: str) -> DataFrame:
     p = momentum_panel(spark, sf).withColumn("value", F.round("value", 10))
-    days = V.rebalance_days(p.select("date").distinct(), "month")
+    days = V.rebalance_days(bars(spark, sf).select("date").distinct(), "month")
     return V.hold_top(p, days, 10).where("weight > 0").select("symbol", day().alias("date"), "weight")
 
 
@@ -308,11 +307,11 @@ def x09_rebalance_days(spark: SparkSession, sf: str) -> DataFrame:
 def w17_drifted(spark: SparkSession, sf: str) -> DataFrame:
     """Equal weights of the month's first day, drifting with returns held to 30 %."""
     p = held_prices(spark, sf)
-    days = V.rebalance_days(p.select("date").distinct(), "month").withColumn("reb", F.lit(True))
+    days = V.rebalance_days(bars(spark, sf).select("date").distinct(), "month").withColumn("reb", F.lit(True))
     n = F.count("value").over(Window.partitionBy("date"))
     target = F.when(F.col("reb"), F.when(F.col("value").isNotNull(), 1 / n).otherwise(0.0))
-    t = p.join(days, "date", "left").select("symbol", "date", target.alias("target"))
-    return V.drifted(t, p.select("symbol", "date", F.col("r").alias("ret"))).where("weight > 0").select("symbol", day().alias("date"), r6("weight").alias("weight"))
+    t = p.join(days, "date", "left").select("symbol", "date", target.alias("target"), F.col("r").alias("ret"))
+    return V.drifted(t).where("weight > 0").select("symbol", day().alias("date"), r6("weight").alias("weight"))
 
 
 @query("w14_expanding_percentile", sql(f"SELECT {D}, {q6('less * 1.0 / before')} AS pct FROM (SELECT x.d, any_value(x.o) AS before, count(y.d) AS less FROM s x LEFT JOIN s y ON y.o < x.o AND y.a < x.a GROUP BY x.d) WHERE before >= 249", "s AS (SELECT d, sum(amount) AS a, row_number() OVER (ORDER BY d) - 1 AS o FROM (SELECT d, round(amount, 0) AS amount FROM b WHERE amount IS NOT NULL) GROUP BY d)"))

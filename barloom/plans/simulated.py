@@ -132,7 +132,7 @@ def m03_splits(spark: SparkSession, sf: str) -> DataFrame:
 def m05_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions of linear models per split; moments are aggregated, models solved per split."""
     data = L.build_dataset(features(spark, sf), FEATURES, 5)
-    splits = L.walk_forward(data.select("date").distinct(), 250, 60, 60)
+    splits = L.walk_forward(bars(spark, sf).select("date").distinct(), 250, 60, 60)
     return models.predict_linear(data, splits, FEATURES).select("split", "symbol", day().alias("date"), r6("prediction").alias("prediction"), r6("label").alias("label"))
 
 
@@ -140,7 +140,7 @@ def m05_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
 def m06_yearly(spark: SparkSession, sf: str) -> DataFrame:
     """Daily rank correlation of yearly expanding models, summed up."""
     data = L.build_dataset(features(spark, sf), FEATURES, 5)
-    return models.prediction_ic(models.predict_linear(data, models.yearly_splits(data.select("date")), FEATURES))
+    return models.prediction_ic(models.predict_linear(data, models.yearly_splits(bars(spark, sf).select("date")), FEATURES))
 
 
 @query("m07_weights")

@@ -35,7 +35,8 @@ def _placed(rows: DataFrame, values: list[str], carried: dict[str, Column]) -> D
 
     Shards are counted, counts and last values are scanned over the shards of a source, and every shard numbers its own rows.
     """
-    rows = rows.repartition("__src", "__shard").groupBy("__src", "__shard", "__day").agg(F.max(F.struct("__ver", *values)).alias("__b")).select("__src", "__shard", "__day", *[F.col(f"__b.{v}").alias(v) for v in values])
+    # repeats are reduced before anything is brought together by shard: a shard then has no more rows than days
+    rows = rows.groupBy("__src", "__shard", "__day").agg(F.max(F.struct("__ver", *values)).alias("__b")).select("__src", "__shard", "__day", *[F.col(f"__b.{v}").alias(v) for v in values])
     line = Window.partitionBy("__src").orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
     ends = rows.groupBy("__src", "__shard").agg(F.count(F.lit(1)).alias("__n"), *[F.max_by(c, F.when(c.isNotNull(), F.col("__day"))).alias(f"__end_{k}") for k, c in carried.items()])
     starts = ends.select(F.col("__src").alias("__s"), F.col("__shard").alias("__sh"), F.coalesce(F.sum("__n").over(line), F.lit(0)).alias("__before"), *[F.last(f"__end_{k}", ignorenulls=True).over(line).alias(f"__in_{k}") for k in carried])
@@ -118,7 +119,6 @@ def flag_bars(bars: DataFrame, source: str = "symbol", day: str = "date", *, ver
     frozen run; a missing volume counts as none; a missing factor takes the last one before it, or 1. Rows without source or day are
     ignored; empty input gives no rows; other columns are ignored.
     """
-    o, h, l, c = ("__o", "__h", "__l", "__c")
     kinds = dict(bars.dtypes)
 
     def number(name: str) -> Column:
@@ -127,17 +127,20 @@ def flag_bars(bars: DataFrame, source: str = "symbol", day: str = "date", *, ver
 
     epoch = F.lit("1970-01-01").cast("date")
     when = quoted(day).cast("date")
+    o, h, low, c = (number(p) for p in prices)
+    positive = (o > 0) & (h > 0) & (low > 0) & (c > 0)
+    broken = positive & ((h < low - tolerance) | (o < low - tolerance) | (o > h + tolerance) | (c < low - tolerance) | (c > h + tolerance))
+    impossible = F.coalesce(F.least(o, h, low, c) <= 0, F.lit(False))
+    # what later steps need of a row, in few bytes: log close, a digest of the four prices where they were traded, its own faults
+    quote = F.when(o.isNotNull() & h.isNotNull() & low.isNotNull() & c.isNotNull() & (number(volume) > 0), F.xxhash64(o + 0.0, h + 0.0, low + 0.0, c + 0.0))
     rows = bars.select(
         quoted(source).alias("__src"), when.alias("__day"), F.floor(F.datediff(when, epoch) / F.lit(SHARD_DAYS)).cast("int").alias("__shard"), quoted(version).alias("__ver"),
-        *[number(p).alias(n) for p, n in zip(prices, (o, h, l, c))], number(volume).alias("__v"), (number(factor) if factor else F.lit(1.0)).alias("__f"),
+        F.when(positive, F.log(c)).alias("__raw"), quote.alias("__quote"), (number(factor) if factor else F.lit(1.0)).alias("__f"), impossible.alias("__impossible"), F.coalesce(broken, F.lit(False)).alias("__broken"),
     ).where("__src is not null and __day is not null")
-    placed = _placed(rows, [o, h, l, c, "__v", "__f"], {"__factor": F.when(F.col("__f") > 0, F.col("__f"))})
-    positive = (F.col(o) > 0) & (F.col(h) > 0) & (F.col(l) > 0) & (F.col(c) > 0)
-    blocks = _in_blocks(placed.withColumn("__raw", F.when(positive, F.log(c))).withColumn("__p", F.col("__raw") + F.log(F.coalesce("__factor", F.lit(1.0)))))
+    placed = _placed(rows, ["__raw", "__quote", "__f", "__impossible", "__broken"], {"__factor": F.when(F.col("__f") > 0, F.col("__f"))}).drop("__f")
+    blocks = _in_blocks(placed.withColumn("__p", F.col("__raw") + F.log(F.coalesce("__factor", F.lit(1.0)))).drop("__factor"))
     line = Window.partitionBy("__src", "__block").orderBy("__ord")
-    same = F.coalesce((F.col("__v") > 0) & (F.lag("__v").over(line) > 0), F.lit(False))
-    for p in (o, h, l, c):
-        same = same & F.coalesce(F.col(p) == F.lag(p).over(line), F.lit(False))
+    same = F.coalesce(F.col("__quote") == F.lag("__quote").over(line), F.lit(False))
     seen = blocks.select("*", same.alias("__same"), excursion("__p", raw="__raw").alias("__e"), F.abs(F.col("__p") - F.expr("lag(__p, 1) ignore nulls over (partition by __src, __block order by __ord)")).alias("__move"))
     need = STUCK_RUN - 1
     back, ahead, run = F.lit(True), F.lit(True), F.lit(1)
@@ -145,9 +148,7 @@ def flag_bars(bars: DataFrame, source: str = "symbol", day: str = "date", *, ver
         back = back & F.coalesce(F.lag("__same", k).over(line), F.lit(False))
         ahead = ahead & F.coalesce(F.lead("__same", k + 1).over(line), F.lit(False))
         run = run + back.cast("int") + ahead.cast("int")
-    broken = positive & ((F.col(h) < F.col(l) - tolerance) | (F.col(o) < F.col(l) - tolerance) | (F.col(o) > F.col(h) + tolerance) | (F.col(c) < F.col(l) - tolerance) | (F.col(c) > F.col(h) + tolerance))
-    impossible = F.coalesce(F.least(o, h, l, c) <= 0, F.lit(False))
-    marked = seen.select("__src", "__day", "__home", "__block", F.when(F.col("__p").isNotNull(), F.col("__e")).alias("__e"), "__move", impossible.alias("__impossible"), F.coalesce(broken, F.lit(False)).alias("__broken"), (run >= STUCK_RUN).alias("__stuck"))
+    marked = seen.select("__src", "__day", "__home", "__block", F.when(F.col("__p").isNotNull(), F.col("__e")).alias("__e"), "__move", "__impossible", "__broken", (run >= STUCK_RUN).alias("__stuck"))
     staged = stage_table(marked.where("__home = __block").drop("__home", "__block"), "flags")
     # seasonal part: the weekday's share of a source's movement is taken off before the tail is fitted
     season = staged.groupBy("__src", F.dayofweek("__day").alias("__wd")).agg(F.avg(F.least("__e", "__move")).alias("__m"))

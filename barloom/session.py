@@ -42,3 +42,15 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/barloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the staged tables under the checkpoint folder; their number. Only call it when no result is read from them any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return 0
+    found = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("barloom-")]
+    for path in found:
+        fs.delete(path, True)
+    return len(found)

@@ -82,6 +82,15 @@ def compact(raw: DataFrame, factor: DataFrame | None = None, *, amount_scale: fl
     return finish(df)
 
 
+def overseas(raw: DataFrame, end: str | None = None) -> DataFrame:
+    """Feeds with zoned times and a column of adjusted closes; ``end`` is the last day wanted, whatever the feed's own end means."""
+    df = raw.withColumn("date", F.col("date").cast("date"))
+    if end is not None:
+        df = df.where(F.col("date") <= F.lit(end).cast("date"))
+    factor = F.when(F.col("close") > 0, ratio(F.col("adj_close"), F.col("close")))
+    return finish(df.withColumns({"adj_factor": factor, "pre_close": S.ref(F.col("close"), 1, LINE())}))
+
+
 def apply_events(bars: DataFrame, events: DataFrame, *, literal_consolidation: bool = False) -> DataFrame:
     """Corporate actions to ``adj_factor`` and ex-right ``pre_close``.
 

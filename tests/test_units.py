@@ -71,5 +71,19 @@ def test_figures_of_the_row_choose(spark):
     assert got[33][2] is not None
 
 
+def test_nulls_anywhere_repeats_and_other_columns(spark):
+    odd = (40, None, None, None, None, "5手", None, "-", None, None, None, None)
+    data = [row(1, "s", "500", "5", "1"), row(1, "s", "500", "5", "1"), odd, row(41, "k", "10000", "100000", None, close=None), row(42, "new", "7", "8", "9", sym="nobody")]
+    got = resolve(spark, data)
+    assert got[1] == (-2, 0, 0) and got[40] == (0, None, None) and got[41][0] is not None
+    assert all(p is not None for p in got[42])  # a feed without links has all conversions to choose from
+    units = BarUnits()
+    units.entity = ["sym", "date"]
+    d = spark.createDataFrame([data[0]], "delivery_id long, source string, sym string, date date, close double, volume string, volume_unit string, amount string, amount_unit string, turnover_rate string, turnover_unit string, fetched_at timestamp_ntz")
+    d = d.selectExpr("*", "1 as n_volume", "'x' as p_volume", "2 as __on", "3 as float_shares")
+    known = spark.createDataFrame(UNITS, "source string, field string, unit string, valid_from date, valid_to date")
+    assert units.harmonize(d, known, context=spark.createDataFrame([("1", 5)], "sym string, float_shares long"), context_key="sym", keep=["close"]).count() == 1
+
+
 def test_empty(spark):
     assert resolve(spark, []) == {}

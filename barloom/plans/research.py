@@ -207,12 +207,12 @@ def a19_breadth(spark: SparkSession, sf: str) -> DataFrame:
     return df.groupBy("date").agg(F.count_if("up").alias("limit_up_n"), r6(F.try_divide(F.count_if(F.col("ret") > 0), F.count("ret"))).alias("up_ratio"), r6(F.median("ret")).alias("med_ret"), r6(F.try_divide(F.count_if("high20"), F.count("close"))).alias("new_high_20"), F.round(F.sum("amount"), 0).alias("amount")).withColumn("date", day())
 
 
-@query("a20_covariance", sql(f"SELECT x.symbol AS sym_a, y.symbol AS sym_b, round(covar_samp(x.r, y.r), 8) + 0.0 AS cov, count(*) AS n FROM m x JOIN m y ON x.d = y.d AND x.symbol <= y.symbol GROUP BY ALL HAVING count(*) >= 20",
-    "m AS (SELECT symbol, d, CASE WHEN close > 0 AND pre_close > 0 THEN greatest(least(close / pre_close - 1, 0.3), -0.3) END AS r FROM b)", "dummy AS (SELECT 1)").replace("FROM m x", "FROM (SELECT * FROM m WHERE r IS NOT NULL AND symbol LIKE '%.SZ') x").replace("JOIN m y", "JOIN (SELECT * FROM m WHERE r IS NOT NULL AND symbol LIKE '%.SZ') y"))
+@query("a20_covariance", sql("SELECT x.symbol AS sym_a, y.symbol AS sym_b, round(covar_samp(x.r, y.r), 8) + 0.0 AS cov, count(*) AS n FROM m x JOIN m y ON x.d = y.d AND x.symbol <= y.symbol GROUP BY ALL HAVING count(*) >= 20",
+    "m AS (SELECT symbol, d, greatest(least(close / pre_close - 1, 0.3), -0.3) AS r FROM b WHERE close > 0 AND pre_close > 0)"))
 def a20_covariance(spark: SparkSession, sf: str) -> DataFrame:
-    """Covariance of daily moves of one exchange's symbols, over common days; 20 at least."""
-    move = F.when((C() > 0) & (F.col("pre_close") > 0), F.greatest(F.least(C() / F.col("pre_close") - 1, F.lit(0.3)), F.lit(-0.3)))
-    m = bars(spark, sf).where(F.col("symbol").endswith(".SZ")).select("symbol", "date", move.alias("r")).where("r is not null")
+    """Covariance of the daily moves of symbols over their common days; 20 at least."""
+    move = F.greatest(F.least(C() / F.col("pre_close") - 1, F.lit(0.3)), F.lit(-0.3))
+    m = bars(spark, sf).where("close > 0 and pre_close > 0").select("symbol", "date", move.alias("r"))
     a, b = m.withColumnsRenamed({"symbol": "sym_a", "r": "ra"}), m.withColumnsRenamed({"symbol": "sym_b", "r": "rb"})
     return a.join(b, "date").where("sym_a <= sym_b").groupBy("sym_a", "sym_b").agg((F.round(F.covar_samp("ra", "rb"), 8) + F.lit(0.0)).alias("cov"), F.count(F.lit(1)).alias("n")).where("n >= 20")
 

@@ -113,14 +113,11 @@ def m02_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("symbol", day().alias("date"), *[r6(c).alias(c) for c in (*FEATURES, "label")])
 
 
-@query("m01_stack", sql(f"SELECT {D}, symbol, close AS value FROM b WHERE symbol IN (SELECT symbol FROM b GROUP BY 1 ORDER BY count(*) DESC, symbol LIMIT 5)"))
+@query("m01_stack", sql("SELECT " + D + ", symbol AS key, field AS symbol, value FROM (SELECT symbol, d, unnest(['open', 'high', 'low', 'close', 'turnover_rate']) AS field, unnest([open, high, low, close, turnover_rate]) AS value FROM b) WHERE value IS NOT NULL"))
 def m01_stack(spark: SparkSession, sf: str) -> DataFrame:
-    """A wide panel of the five longest series back to rows."""
-    b = bars(spark, sf)
-    names = [r.symbol for r in b.groupBy("symbol").count().orderBy(F.desc("count"), "symbol").limit(5).collect()]
-    wide = b.where(F.col("symbol").isin(names)).groupBy("date").pivot("symbol", names).agg(F.max("close"))
-    plain = wide.toDF("date", *[n.replace(".", "_") for n in names])
-    return L.stack(plain, "value").select(day().alias("date"), F.translate("symbol", "_", ".").alias("symbol"), "value")
+    """A wide table to rows, missing cells left out."""
+    wide = bars(spark, sf).select(F.col("symbol").alias("key"), "date", "open", "high", "low", "close", "turnover_rate")
+    return L.stack(wide, "value", ("date", "key")).select(day().alias("date"), "key", "symbol", "value")
 
 
 @query("m03_splits", sql(f"SELECT k::INT AS split, {D}, CASE WHEN o - k * 60 < 250 THEN 'train' ELSE 'test' END AS part FROM t JOIN (SELECT unnest(range(0, 1000)) AS k) ks ON o >= k * 60 AND o < k * 60 + 310 AND k * 60 + 310 <= n", "t AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS o, count(*) OVER () AS n FROM (SELECT DISTINCT d FROM b))"))

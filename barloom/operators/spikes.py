@@ -53,10 +53,10 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     return rows.select("*", block.alias("__home"), F.explode(near).alias("__block"))
 
 
-def excursion(value: str, order: str = "__ord", partition: str = "__src, __block", raw: str | None = None) -> Column:
+def excursion(value: str, order: str = "__ord", partition: str = "__src, __block", raw: str | None = None, center: str | None = None) -> Column:
     """How far a (log) value is from the path on both sides of it, where the path resumes after at most LONGEST rows; else 0.
 
-    For each way in which the row may lie in a run, the last value before the run and the first after it give the path. The run counts if
+    ``center`` is what the row itself counts as, ``value`` if not given. For each way in which the row may lie in a run, the last value before the run and the first after it give the path. The run counts if
     the value is on the same side of both and they are close to each other in comparison.
     """
     def at(which: str, k: int, column: str) -> Column:
@@ -65,7 +65,7 @@ def excursion(value: str, order: str = "__ord", partition: str = "__src, __block
     options = []
     for i in range(1, LONGEST + 1):
         for j in range(1, LONGEST + 2 - i):
-            down, up = F.col(value) - at("lag", i, value), F.col(value) - at("lead", j, value)
+            down, up = F.col(center or value) - at("lag", i, value), F.col(center or value) - at("lead", j, value)
             least = F.least(F.abs(down), F.abs(up))
             ok = (down * up > 0) & (F.abs(down - up) <= RESUMES * least)
             if raw:  # the raw value must move too: a wrong factor alone is no excursion of the price
@@ -116,7 +116,7 @@ def flag_bars(bars: DataFrame, source: str = "symbol", day: str = "date", *, ver
     adjusted close leaves its path for at most LONGEST rows by more than the source's cutoff (see tail_cutoffs), after which the path resumes.
 
     Of several rows of a source and day the one of the latest version holds. A missing price is neither impossible nor a spike and breaks a
-    frozen run; a missing volume counts as none; a missing factor takes the last one before it, or 1. Rows without source or day are
+    frozen run; a missing volume counts as none; a missing factor is the last one before it (or 1), or the next, whichever shows less of a spike. Rows without source or day are
     ignored; empty input gives no rows; other columns are ignored.
     """
     kinds = dict(bars.dtypes)
@@ -136,19 +136,23 @@ def flag_bars(bars: DataFrame, source: str = "symbol", day: str = "date", *, ver
     rows = bars.select(
         quoted(source).alias("__src"), when.alias("__day"), F.floor(F.datediff(when, epoch) / F.lit(SHARD_DAYS)).cast("int").alias("__shard"), quoted(version).alias("__ver"),
         F.when(positive, F.log(c)).alias("__raw"), quote.alias("__quote"), (number(factor) if factor else F.lit(1.0)).alias("__f"), impossible.alias("__impossible"), F.coalesce(broken, F.lit(False)).alias("__broken"),
-    ).where("__src is not null and __day is not null")
-    placed = _placed(rows, ["__raw", "__quote", "__f", "__impossible", "__broken"], {"__factor": F.when(F.col("__f") > 0, F.col("__f"))}).drop("__f")
-    blocks = _in_blocks(placed.withColumn("__p", F.col("__raw") + F.log(F.coalesce("__factor", F.lit(1.0)))).drop("__factor"))
+    ).where("__src is not null and __day is not null and __shard is not null")  # all that joins will ask for, so that both uses plan alike and share a shuffle
+    placed = _placed(rows, ["__raw", "__quote", "__f", "__impossible", "__broken"], {"__factor": F.when(F.col("__f") > 0, F.col("__f"))})
+    known = F.round(F.log(F.when(F.col("__f") > 0, F.col("__f"))), 9)
+    blocks = _in_blocks(placed.withColumns({"__p": F.col("__raw") + F.round(F.log(F.coalesce("__factor", F.lit(1.0))), 9), "__known": known}).drop("__factor", "__f"))
     line = Window.partitionBy("__src", "__block").orderBy("__ord")
     same = F.coalesce(F.col("__quote") == F.lag("__quote").over(line), F.lit(False))
-    seen = blocks.select("*", same.alias("__same"), excursion("__p", raw="__raw").alias("__e"), F.abs(F.col("__p") - F.expr("lag(__p, 1) ignore nulls over (partition by __src, __block order by __ord)")).alias("__move"))
+    # a row without a factor may belong to the one before or to the next: it is an excursion only if it is under both
+    later = F.expr("lead(__known, 1) ignore nulls over (partition by __src, __block order by __ord)")
+    blocks = blocks.withColumn("__q", F.when(F.col("__known").isNull(), F.col("__raw") + later))
+    seen = blocks.select("*", same.alias("__same"), excursion("__p", raw="__raw").alias("__e1"), F.when(F.col("__q").isNotNull(), excursion("__p", raw="__raw", center="__q")).alias("__e2"), F.abs(F.col("__p") - F.expr("lag(__p, 1) ignore nulls over (partition by __src, __block order by __ord)")).alias("__move"))
     need = STUCK_RUN - 1
     back, ahead, run = F.lit(True), F.lit(True), F.lit(1)
     for k in range(need):
         back = back & F.coalesce(F.lag("__same", k).over(line), F.lit(False))
         ahead = ahead & F.coalesce(F.lead("__same", k + 1).over(line), F.lit(False))
         run = run + back.cast("int") + ahead.cast("int")
-    marked = seen.select("__src", "__day", "__home", "__block", F.when(F.col("__p").isNotNull(), F.col("__e")).alias("__e"), "__move", "__impossible", "__broken", (run >= STUCK_RUN).alias("__stuck"))
+    marked = seen.select("__src", "__day", "__home", "__block", F.when(F.col("__p").isNotNull(), F.least("__e1", "__e2")).alias("__e"), "__move", "__impossible", "__broken", (run >= STUCK_RUN).alias("__stuck"))
     staged = stage_table(marked.where("__home = __block").drop("__home", "__block"), "flags")
     # seasonal part: the weekday's share of a source's movement is taken off before the tail is fitted
     season = staged.groupBy("__src", F.dayofweek("__day").alias("__wd")).agg(F.avg(F.least("__e", "__move")).alias("__m"))

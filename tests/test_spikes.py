@@ -46,6 +46,7 @@ def test_spikes_moves_and_actions(spark, monkeypatch, block):
         b[7] = 2.0  # a split, with its factor
     bars[120][7] = 3.0  # a wrong factor moves no price
     bars[130][7] = None
+    bars[150][7] = None  # the split's own factor comes a day late
     for i in (170, 171, 172, 173):
         scale(bars[i], 1.4)  # too long for an excursion
     got = flags(spark, bars)

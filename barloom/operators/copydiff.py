@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T, Window
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from barloom.functions.clean import TOLERANCE, differ, quoted
+from barloom.operators.pairing import pair_rows
 from barloom.session import stage_table
 
-#: Up to so many left-over rows on a side, a key is paired by exact assignment in one task.
+#: Up to so many left-over rows on a side, a key is paired by assignment over the matrix of all pairs, beyond by flows; both are exact.
 EXACT_ROWS = 400
 
 
@@ -66,9 +66,9 @@ def diff_copies(left: DataFrame, right: DataFrame, keys: Sequence[str], fields:
     both sides, this copy of it has no partner) or ``value`` (a paired row whose field differs).
 
     Identical rows cancel by multiplicity. What is left is paired within each key so that the number of differing fields is least; a key
-    with one row left on each side needs no search, a key with up to ``exact_rows`` rows left a side gets an exact assignment, and a
-    larger one is paired in distributed rounds, field subsets by falling size, rank by rank within equal values (rows agreeing in more
-    fields first; no row is dropped). With ``repeats="once"`` equal rows on a side count once.
+    with one row left on each side needs no search, a key with up to ``exact_rows`` rows left a side is assigned over the matrix of its
+    pairs, and a larger one by a cheapest flow over its distinct rows, of the same cost but without that matrix; either way a key is
+    paired in one task. With ``repeats="once"`` equal rows on a side count once.
 
     Nulls: a null key equals a null key; NaN is missing; two missing values are equal, a missing and a present one differ. Empty sides
     are fine. Other columns of either side are ignored, so clashing names do no harm.
@@ -134,7 +134,7 @@ def diff_copies(left: DataFrame, right: DataFrame, keys: Sequence[str], fields:
         if most[0] <= exact_rows:
             out = out.unionByName(_assigned(many.where("__exact"), ks, fs, fields, numeric, tolerance))
         if most[1] > exact_rows:
-            out = out.unionByName(_rounds(many.where("not __exact"), ks, fs, fields, numeric, tolerance))
+            out = out.unionByName(_flowed(many.where("not __exact"), ks, fs, fields, numeric, tolerance))
     return out.select(*[F.col(n).alias(k) for k, n in zip(keys, ks)], *columns)
 
 
@@ -165,40 +165,30 @@ def _assigned(many: DataFrame, ks: list[str], fs: list[str], fields: Sequence[st
     return many.groupBy(*ks).applyInPandas(pair, schema).groupBy(*ks, *columns).agg(F.sum("n").alias("n"))
 
 
-def _rounds(many: DataFrame, ks: list[str], fs: list[str], fields: Sequence[str], numeric: dict[str, bool], tolerance: float) -> DataFrame:
-    """Pairing of very crowded keys without gathering one: in each round, rows that agree in a subset of fields meet rank by rank."""
-    subsets = [list(s) for k in range(len(fs) - 1, -1, -1) for s in itertools.combinations(fs, k)]
-    left = many.where("__rl > 0").select(*ks, *fs, F.explode(F.sequence(F.lit(1), F.col("__rl").cast("int"))).alias("__i"))
-    right = many.where("__rr > 0").select(*ks, *fs, F.explode(F.sequence(F.lit(1), F.col("__rr").cast("int"))).alias("__i"))
-    done: list[DataFrame] = []
-    for subset in subsets:
-        by = [*ks, *subset]
-        # ranks run over 64 salts of a group: each salt is ranked alone and shifted by the counts of the salts before it
-        sides = []
-        for d, mark in ((left, "a"), (right, "b")):
-            d = d.withColumn("__salt", F.pmod(F.xxhash64(*fs, "__i"), F.lit(64)))
-            counts = d.groupBy(*by, "__salt").agg(F.count(F.lit(1)).alias("__n"))
-            before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1))
-            shifts = counts.select(*[F.col(c).alias(f"s{c}") for c in [*by, "__salt"]], F.coalesce(before, F.lit(0)).alias("__shift"))
-            ranked = d.withColumn("__in", F.row_number().over(Window.partitionBy(*by, "__salt").orderBy(*fs, "__i")))
-            ranked = ranked.join(shifts, [F.col(c).eqNullSafe(F.col(f"s{c}")) for c in [*by, "__salt"]])
-            sides.append(ranked.select(*[F.col(c).alias(f"{mark}{c}") for c in [*ks, *fs, "__i"]], (F.col("__in") + F.col("__shift")).alias(f"{mark}__rank")))
-        a, b = sides
-        met = a.join(b, [F.col(f"a{c}").eqNullSafe(F.col(f"b{c}")) for c in [*by, "__rank"]], "full")
-        done.append(met.where("a__i is not null and b__i is not null"))
-        left = met.where("b__i is null").select(*[F.col(f"a{c}").alias(c) for c in [*ks, *fs, "__i"]])
-        right = met.where("a__i is null").select(*[F.col(f"b{c}").alias(c) for c in [*ks, *fs, "__i"]])
-    columns = ["kind", "field", "left_value", "right_value", "n"]
-    out = [d.groupBy(*ks).agg(F.count(F.lit(1)).alias("n")).select(*ks, F.lit(kind).alias("kind"), *[F.lit(None).cast("string").alias(c) for c in columns[1:4]], "n") for d, kind in ((left, "surplus_left"), (right, "surplus_right"))]
-    for met in done:
-        entries = []
-        for f, n in zip(fields, fs):
-            x, y = F.col(f"a{n}"), F.col(f"b{n}")
-            apart = differ(x, y, tolerance) if numeric[f] else ~x.eqNullSafe(y)
-            entries.append(F.when(apart, F.struct(F.lit("value").alias("kind"), F.lit(f).alias("field"), x.cast("string").alias("left_value"), y.cast("string").alias("right_value"))))
-        rows = met.select(*[F.col(f"a{k}").alias(k) for k in ks], F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("x")).select(*ks, "x.*")
-        out.append(rows.groupBy(*ks, *columns[:4]).agg(F.count(F.lit(1)).alias("n")))
-    result = out[0]
-    for more in out[1:]:
-        result = result.unionByName(more)
-    return result
+def _flowed(many: DataFrame, ks: list[str], fs: list[str], fields: Sequence[str], numeric: dict[str, bool], tolerance: float) -> DataFrame:
+    """Least-cost pairing of the very crowded keys, from their distinct rows and how often each is left, by flows through hubs of agreeing fields."""
+    sides = [f"{mark}{n}" for mark in "ab" for n in fs]
+    schema = T.StructType([*[many.schema[k] for k in ks], *[T.StructField(c, many.schema[c[1:]].dataType) for c in sides], T.StructField("kind", T.StringType()), T.StructField("n", T.LongType())])
+
+    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf[pdf[c] > 0].sort_values(fs).reset_index(drop=True) for c in ("__rl", "__rr"))
+        have, want = a["__rl"].tolist(), b["__rr"].tolist()
+        met = pair_rows([a[n].to_numpy() for n in fs], [b[n].to_numpy() for n in fs], have, want, [numeric[f] for f in fields], tolerance)
+        i, j, n = (np.array(x, dtype=int) for x in (zip(*met) if met else ([], [], [])))
+        rows = pd.concat([a[fs].take(i).set_axis(sides[:len(fs)], axis=1).reset_index(drop=True), b[fs].take(j).set_axis(sides[len(fs):], axis=1).reset_index(drop=True)], axis=1)
+        rows["kind"], rows["n"] = "value", n
+        rest = [{"kind": kind, "n": sum(x)} for kind, x in (("surplus_left", have), ("surplus_right", want)) if any(x)]
+        if rest:
+            rows = pd.concat([rows, pd.DataFrame(rest)], ignore_index=True)
+        for k in ks:
+            rows[k] = pd.Series([pdf[k].iloc[0]] * len(rows), dtype=pdf[k].dtype)
+        return rows[schema.names]
+
+    entries = [F.when(F.col("kind") != "value", F.struct("kind", *[F.lit(None).cast("string").alias(c) for c in ("field", "left_value", "right_value")]))]
+    for f, n in zip(fields, fs):
+        x, y = F.col(f"a{n}"), F.col(f"b{n}")
+        apart = differ(x, y, tolerance) if numeric[f] else ~x.eqNullSafe(y)
+        entries.append(F.when((F.col("kind") == "value") & apart, F.struct("kind", F.lit(f).alias("field"), x.cast("string").alias("left_value"), y.cast("string").alias("right_value"))))
+    met = many.groupBy(*ks).applyInPandas(pair, schema)
+    rows = met.select(*ks, "n", F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("x")).select(*ks, "x.*", "n")
+    return rows.groupBy(*ks, "kind", "field", "left_value", "right_value").agg(F.sum("n").alias("n"))

@@ -4,7 +4,8 @@ from collections import Counter
 
 import numpy as np
 
-from barloom.operators.copydiff import assign, diff_copies
+from barloom.operators.copydiff import _unlike, assign, diff_copies
+from barloom.operators.pairing import pair_rows
 from tests.conftest import rows
 
 SCHEMA = "k string, x double, y double, note string"
@@ -83,6 +84,40 @@ def test_very_crowded_keys_keep_every_row(spark):
     assert cost[0] <= cost[1] <= 2 * (70 - cancelled)
 
 
+def test_flows_cost_as_little_as_assignment():
+    rng = np.random.default_rng(7)
+    for trial in range(150):
+        n, m, k = int(rng.integers(1, 25)), int(rng.integers(1, 25)), int(rng.integers(1, 4))
+        tolerance = (1e-5, 0.05)[trial % 2]  # the wide one makes chains in which agreement is not transitive
+        sides = []
+        for count in (n, m):
+            base = rng.integers(-2, 5, (k, count)) * (1 + rng.normal(0, tolerance, (k, count)))
+            base[rng.random((k, count)) < 0.1] = np.nan
+            sides.append(list(base))
+        a, b = sides
+        cost = np.sum([_unlike(x, y, tolerance, True) for x, y in zip(a, b)], axis=0).astype(float)
+        small = cost if n <= m else cost.T
+        best = sum(small[i, j] for i, j in enumerate(assign(small)))
+        have, want = [1] * n, [1] * m
+        found = pair_rows(a, b, have, want, [True] * k, tolerance)
+        assert len({i for i, _, _ in found}) == len({j for _, j, _ in found}) == len(found) == min(n, m)
+        assert sum(cost[i, j] for i, j, _ in found) == best and sum(have) == n - min(n, m) and sum(want) == m - min(n, m)
+
+
+def test_very_crowded_keys_have_the_tolerance_and_least_cost(spark):
+    rng = random.Random(11)
+    values = [(rng.uniform(1, 100), rng.uniform(1, 100)) for _ in range(401)]
+    left = [("hot", x, y, "") for x, y in values]
+    right = [("hot", x * (1 + rng.uniform(-4e-6, 4e-6)), y * (1 + rng.uniform(-4e-6, 4e-6)), "") for x, y in values]
+    assert diff(spark, left, right) == []
+    right[:50] = [("hot", x, y + 500, "") for _, x, y, _ in right[:50]]
+    left += [("hot", -5.0, None, "")] * 3
+    assert diff(spark, left, right) == [("hot", "surplus_left", None, 3), *[("hot", "value", "y", 1)] * 50]
+    coarse = [[("a", float(rng.randint(0, 9)), rng.choice([None, 1.0, 2.0]) and rng.randint(1, 9) * (1 + rng.uniform(-1e-5, 1e-5)), "") for _ in range(n)] for n in (70, 60)]
+    cost = [sum(n for _, kind, _, n in diff(spark, *coarse, exact_rows=e) if kind == "value") for e in (400, 1)]
+    assert cost[0] == cost[1]
+
+
 def test_text_fields_and_clashing_columns(spark):
     a = spark.createDataFrame([(1, "x", 5)], "id int, f string, kind int")
     b = spark.createDataFrame([(1, "y", 6)], "id int, f string, kind int")

@@ -16,6 +16,8 @@ from barloom.session import stage_table
 BINS = 20
 #: A conversion belongs to a source if at least this share of its links snaps to it, each within so many powers of ten.
 SHARE, SNAP = 0.02, 0.2
+#: What a conversion costs that none of its source's links show: a row's figures outweigh it from half a power of ten on.
+UNLINKED = 0.5
 #: What a relation between figures of a row may count at most, in powers of ten.
 MOST = 3.0
 
@@ -66,8 +68,9 @@ class UnitHarmonizer:
     A unit beside the number holds first, then the row's unit column, then the units a source is known to use on the day of delivery.
     For numbers without any of these, the same entities are linked across sources: pairwise ratios are estimated as histograms of
     log10 ratios per pair of sources, snapped to known conversions and propagated from sources with stated units through the graph of
-    sources. That gives the conversions each source uses; where it uses several, the row's other figures (``relations``) choose, and
-    where these leave a tie, the values linked to the same entity, then the share of each conversion in the source.
+    sources. That gives the conversions each source uses. Where the row has other figures (``relations``), these choose among all known
+    conversions, and where they leave a tie, those the source uses, the values linked to the same entity, then the share of each
+    conversion in the source. A number without other figures has the conversions of its source to choose from.
 
     Unreadable numbers (absent marks, unknown text behind the number) and nulls stay null with a null power. A number that is zero or
     negative has no logarithm and takes its source's main conversion. A source with no links has all known conversions to choose from.
@@ -151,10 +154,18 @@ class UnitHarmonizer:
         rows = unstated.select("*", *[weights(f).alias(f"__w_{f}") for f in names], *[self.log(f).alias(f"__l_{f}") for f in names], *[F.expr(r.offset).alias(f"__r{i}") for i, r in enumerate(self.relations)])
         open_ = {f: F.col(f"p_{f}").isNull() & F.col(f"n_{f}").isNotNull() for f in names}
 
+        def told(f: str) -> Column:
+            """Whether another figure of the row bears on the field."""
+            there = F.lit(False)
+            for i, r in enumerate(self.relations):
+                if f in (r.left, r.right):
+                    there = there | (F.col(f"__l_{r.left}").isNotNull() & F.col(f"__l_{r.right}").isNotNull() & F.col(f"__r{i}").isNotNull())
+            return there
+
         def allowed(c: Column) -> Column:
             ok = F.lit(True)
             for f in names:
-                mine = F.when(open_[f], F.col(f"__w_{f}").isNull() | F.map_contains_key(F.col(f"__w_{f}"), c[f])).otherwise(c[f] == F.coalesce(F.col(f"p_{f}"), F.lit(0)))
+                mine = F.when(open_[f], F.col(f"__w_{f}").isNull() | F.col(f"__told_{f}") | F.map_contains_key(F.col(f"__w_{f}"), c[f])).otherwise(c[f] == F.coalesce(F.col(f"p_{f}"), F.lit(0)))
                 ok = ok & F.coalesce(mine, F.lit(True))
             return ok
 
@@ -167,12 +178,12 @@ class UnitHarmonizer:
             for f in names:
                 off = F.abs(F.col(f"__l_{f}") + c[f] - F.col(f"m_{f}"))
                 linked = linked + F.when(open_[f], F.coalesce(F.least(off, F.lit(MOST)), F.lit(0.0))).otherwise(0.0)
-                share = F.coalesce(F.try_element_at(F.col(f"__w_{f}"), c[f]), F.lit(0.5))
-                prior = prior + F.when(open_[f], -F.log10(share)).otherwise(0.0)
-            return F.struct((F.round(own * 2) + 0.3 * linked + self.hints(c) + 0.01 * prior).alias("c"), *[c[f].alias(f) for f in names])
+                share = F.try_element_at(F.col(f"__w_{f}"), c[f])
+                prior = prior + F.when(open_[f], F.when(F.col(f"__w_{f}").isNull(), -0.01 * F.log10(F.lit(0.5))).when(share.isNull(), UNLINKED).otherwise(-0.01 * F.log10(share))).otherwise(0.0)
+            return F.struct((F.round(own * 2) + 0.3 * linked + self.hints(c) + prior).alias("c"), *[c[f].alias(f) for f in names])
 
         best = F.array_min(F.transform(F.filter(every, allowed), cost))
-        chosen = rows.withColumn("__best", best)
+        chosen = rows.withColumns({f"__told_{f}": told(f) for f in names}).withColumn("__best", best)
         return chosen.select(quoted(self.row_id), quoted(self.source), *[x for f in names for x in (F.col(f"n_{f}"), F.when(F.col(f"n_{f}").isNotNull(), F.coalesce(f"p_{f}", F.col(f"__best.{f}"))).alias(f"p_{f}"), open_[f].alias(f"i_{f}"))])
 
     def hints(self, c: Column) -> Column:

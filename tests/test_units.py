@@ -71,6 +71,17 @@ def test_figures_of_the_row_choose(spark):
     assert got[33][2] is not None
 
 
+def test_figures_of_the_row_outweigh_rare_units(spark):
+    data = [row(100 * k + i, "s", "10000", "100000", "1", day=i, sym=str(k)) for k in (1, 2) for i in range(1, 31)]
+    data += [row(1000 + 100 * k + i, "k", "100", "100000", None, day=i, sym=str(k)) for k in (1, 2) for i in range(2, 31)]
+    data += [row(1, "k", "1", "100000", None), row(2, "k", "1", "100000", None, sym="lonely"), row(3, "k", "1", "100000", "1", sym="3"), row(4, "k", "1", None, None, sym="lonely", day=2), row(5, "k", "100", "100000", None, sym="lonely", day=3)]
+    got = resolve(spark, data, floats=[(x, 1_000_000) for x in "123"])
+    assert got[1][0] == 2  # under two percent of the links show 10,000 shares
+    assert got[2][0] == got[3][0] == 2 and got[3][2] == 0  # no other source delivers these
+    assert got[4][0] == 0 and got[5][0] == 0  # without other figures, and in the usual unit
+    assert all(got[1000 + 100 * k + i][0] == 0 for k in (1, 2) for i in range(2, 31))
+
+
 def test_nulls_anywhere_repeats_and_other_columns(spark):
     odd = (40, None, None, None, None, "5手", None, "-", None, None, None, None)
     data = [row(1, "s", "500", "5", "1"), row(1, "s", "500", "5", "1"), odd, row(41, "k", "10000", "100000", None, close=None), row(42, "new", "7", "8", "9", sym="nobody")]

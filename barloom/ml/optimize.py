@@ -1,4 +1,4 @@
-"""Portfolio weights from expected returns and covariances; small dense problems, solved in numpy."""
+"""Portfolio weights from expected returns and covariances; small dense problems, solved in numpy, or larger ones through a factor."""
 
 from __future__ import annotations
 
@@ -18,10 +18,51 @@ def onto_simplex(v: np.ndarray, low: float = 0.0, high: float = 1.0) -> np.ndarr
     return w
 
 
-def quadratic(sigma: np.ndarray, linear: np.ndarray, long_only: bool = True, tolerance: float = 1e-13, most: int = 20_000) -> np.ndarray:
+class Factored:
+    """Covariance z'z + ridge I of the columns of z, kept as z: memory and products grow with the columns, not their square."""
+
+    def __init__(self, z: np.ndarray, ridge: float = 0.0):
+        self.z, self.ridge = np.asarray(z, dtype=float), ridge
+
+    def __len__(self) -> int:
+        return self.z.shape[1]
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return (self.z @ w) @ self.z + self.ridge * w
+
+    def __rmul__(self, c: float) -> "Factored":
+        return Factored(np.sqrt(c) * self.z, c * self.ridge)
+
+    def largest(self) -> float:
+        """Largest eigenvalue."""
+        small = self.z @ self.z.T if self.z.shape[0] < self.z.shape[1] else self.z.T @ self.z
+        return float(np.linalg.eigvalsh(small)[-1]) + self.ridge
+
+    def risk_parity(self, tolerance: float = 1e-10, most: int = 500) -> np.ndarray:
+        """Equal contributions to risk: least of x'Sx / 2 - sum(log x) by coordinates, which needs no positive covariances, scaled to 1."""
+        columns = np.ascontiguousarray(self.z.T)
+        own = np.einsum("ij,ij->i", columns, columns) + self.ridge
+        x = 1 / np.sqrt(own * len(self))
+        for _ in range(most):
+            y, before = self.z @ x, x / x.sum()
+            for i, column in enumerate(columns):
+                rest = column @ y + self.ridge * x[i] - own[i] * x[i]
+                new = (-rest + np.sqrt(rest * rest + 4 * own[i])) / (2 * own[i])
+                y += (new - x[i]) * column
+                x[i] = new
+            if np.max(np.abs(x / x.sum() - before)) < tolerance:
+                break
+        return x / x.sum()
+
+
+def _covariance(sigma: np.ndarray | Factored) -> np.ndarray | Factored:
+    return sigma if isinstance(sigma, Factored) else np.asarray(sigma, dtype=float)
+
+
+def quadratic(sigma: np.ndarray | Factored, linear: np.ndarray, long_only: bool = True, tolerance: float = 1e-13, most: int = 20_000) -> np.ndarray:
     """Least of w'Sw / 2 - linear'w over the simplex (or entries in [-1, 1]), by accelerated projected gradients."""
     n, low = len(linear), 0.0 if long_only else -1.0
-    pace = 1 / max(float(np.linalg.eigvalsh(sigma)[-1]), 1e-18)
+    pace = 1 / max(sigma.largest() if isinstance(sigma, Factored) else float(np.linalg.eigvalsh(sigma)[-1]), 1e-18)
     w = y = np.full(n, 1 / n)
     t = 1.0
     for _ in range(most):
@@ -36,13 +77,13 @@ def quadratic(sigma: np.ndarray, linear: np.ndarray, long_only: bool = True, tol
     return w
 
 
-def min_variance(sigma: np.ndarray, long_only: bool = True) -> np.ndarray:
-    sigma = np.asarray(sigma, dtype=float)
+def min_variance(sigma: np.ndarray | Factored, long_only: bool = True) -> np.ndarray:
+    sigma = _covariance(sigma)
     return quadratic(2 * sigma, np.zeros(len(sigma)), long_only)
 
 
-def mean_variance(mu: np.ndarray, sigma: np.ndarray, aversion: float = 2.0, long_only: bool = True) -> np.ndarray:
-    return quadratic(aversion * np.asarray(sigma, dtype=float), np.asarray(mu, dtype=float), long_only)
+def mean_variance(mu: np.ndarray, sigma: np.ndarray | Factored, aversion: float = 2.0, long_only: bool = True) -> np.ndarray:
+    return quadratic(aversion * _covariance(sigma), np.asarray(mu, dtype=float), long_only)
 
 
 def risk_parity(sigma: np.ndarray, tolerance: float = 1e-10, most: int = 500) -> np.ndarray:

@@ -142,17 +142,28 @@ def m06_yearly(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m07_weights")
 def m07_weights(spark: SparkSession, sf: str) -> DataFrame:
-    """Weights of three optimisers for the twelve most traded symbols of the last 250 days."""
+    """Weights of three optimisers for all symbols over all dates; none for a symbol with fewer than the 20 moves of a20.
+
+    A matrix of pairwise common days is not positive semidefinite on histories this uneven, so least variance would have no meaning on it.
+    The moves, centred and divided by the root of their number less one, are a factor of a covariance with each symbol's own sample variance.
+    """
     move = F.when((F.col("close") > 0) & (F.col("pre_close") > 0), F.greatest(F.least(F.col("close") / F.col("pre_close") - 1, F.lit(0.3)), F.lit(-0.3)))
-    b = bars(spark, sf).where("date >= '2024-01-01'").select("symbol", "date", "amount", move.alias("r")).where("r is not null")
-    names = [r.symbol for r in b.groupBy("symbol").agg(F.sum("amount").alias("a")).orderBy(F.desc_nulls_last("a"), "symbol").limit(12).collect()]
-    m = b.where(F.col("symbol").isin(names)).select("symbol", "date", "r")
-    pairs = m.join(m.select(F.col("symbol").alias("other"), "date", F.col("r").alias("r2")), "date").groupBy("symbol", "other").agg(F.covar_samp("r", "r2").alias("c"), F.avg("r").alias("m")).toPandas()
-    wide = pairs.pivot(index="symbol", columns="other", values="c").reindex(index=names, columns=names).fillna(0.0).to_numpy()
-    sigma = (wide + wide.T) / 2 + 1e-8 * np.eye(len(names))
-    mu = pairs[pairs.symbol == pairs.other].set_index("symbol")["m"].reindex(names).fillna(0.0).to_numpy()
-    found = pd.DataFrame({"symbol": names, "min_variance": optimize.min_variance(sigma), "mean_variance": optimize.mean_variance(mu, sigma), "risk_parity": optimize.risk_parity(np.abs(sigma))})
-    return spark.createDataFrame(found).select("symbol", *[r6(c).alias(c) for c in found.columns[1:]])
+    b = bars(spark, sf).select("symbol", "date", move.alias("r"))
+    # a row per symbol with plain numbers: the driver holds no object per bar
+    pair = F.when(F.col("r").isNotNull(), F.struct(F.unix_date("date").alias("d"), "r"))
+    moves = b.groupBy("symbol").agg(F.count("r").alias("n"), F.avg("r").alias("m"), F.collect_list(pair).alias("p")).select("symbol", "n", "m", F.col("p.d").alias("d"), F.col("p.r").alias("r"))
+    seen = moves.toArrow().to_pandas().sort_values("symbol", ignore_index=True)
+    held = seen[seen["n"] >= 20].reset_index(drop=True)
+    if held.empty:
+        return spark.createDataFrame(seen[["symbol"]], "symbol string").select("symbol", *[F.lit(None).cast("double").alias(c) for c in ("min_variance", "mean_variance", "risk_parity")])
+    days = np.unique(np.concatenate(held["d"].to_list()))
+    z = np.zeros((len(days), len(held)))
+    for k, row in enumerate(held.itertuples(index=False)):
+        z[np.searchsorted(days, row.d), k] = (np.asarray(row.r) - row.m) / np.sqrt(row.n - 1)
+    sigma = optimize.Factored(z, 1e-8)
+    held = held[["symbol"]].assign(min_variance=optimize.min_variance(sigma), mean_variance=optimize.mean_variance(held["m"].to_numpy(), sigma), risk_parity=sigma.risk_parity())
+    found = seen[["symbol"]].merge(held, "left", "symbol")
+    return spark.createDataFrame(found, "symbol string, min_variance double, mean_variance double, risk_parity double").select("symbol", *[r6(F.when(~F.isnan(c), F.col(c))).alias(c) for c in found.columns[1:]])
 
 
 @query("t03_bars_from_ticks", "SELECT event_type AS symbol, strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M') AS bar, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*)::DOUBLE AS volume, round(sum(value), 6) AS amount FROM events GROUP BY ALL")

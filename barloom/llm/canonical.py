@@ -157,7 +157,7 @@ def canonical(text: str) -> str:
     return "".join(parts) + text[done:]
 
 
-def canonical_text(c: Column | str, *, quick: str = r"^[\n\x20-\x7e\x{4E00}-\x{9FFF}\x{3001}\x{3002}\x{3041}-\x{3096}\x{30A1}-\x{30FA}]*$") -> Column:
+def canonical_text(c: Column | str, *, quick: str = r"^[\n\x20-\x7e\x{4E00}-\x{9FFF}\x{3001}\x{3002}\x{3041}-\x{3096}\x{30A1}-\x{30FA}]*\z") -> Column:
     """Column of consistent forms. Texts of characters that are never unstable stay in the JVM; null stays null."""
     c = F.col(c) if isinstance(c, str) else c
 

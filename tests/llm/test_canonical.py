@@ -62,3 +62,10 @@ def test_pairs(spark):
     assert rows(C.lookalike_pairs(df.limit(0))) == []
     got = {r.doc_id: r.canonical_text for r in C.canonical_documents(df.where("doc_id is not null")).collect()}
     assert got[2] == "abc" and got[5] is None and got[6] == "" and got[11] == "" and got[9] == "R²"
+
+
+def test_line_end_at_the_end_of_a_text(spark):
+    texts = ["abc\r\n", "abc\r", "abc\n", "a\nb\r\n", "abc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r.c for r in df.select("i", C.canonical_text("t").alias("c")).orderBy("i").collect()] == [C.canonical(t) for t in texts]
+    assert C.canonical("abc\r\n") == "abc\n"

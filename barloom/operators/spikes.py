@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from barloom.functions.clean import quoted
 from barloom.session import stage_table
 
-#: Rows of a source in a block, and rows a block sees of its neighbours.
+#: Priced rows of a source in a block, and priced rows a block sees of its neighbours.
 BLOCK, HALO = 2048, 8
 #: Days in the shards that give each row its place among its source's rows.
 SHARD_DAYS = 364
@@ -15,97 +19,254 @@ SHARD_DAYS = 364
 LONGEST = 3
 #: A frozen value repeats at least so often.
 STUCK_RUN = 5
-#: Share of residuals above the threshold of the tail fit, and the risk per reading at which the cutoff is set.
-TAIL, RISK = 0.10, 1e-6
-#: Residuals beyond so many usual movements are no part of normal behaviour and stay out of the fit.
-GROSS = 7.0
-#: A cutoff is at least and at most so many usual movements, whatever the fit says: under that a move is not "many times" the usual one,
-#: and a tail fitted to a short history must not hide what is far beyond it.
-LEAST_TIMES, MOST_TIMES = 7.0, 9.0
+#: Share of a source's residuals above the threshold of its tail, and the risk per reading at which the cutoff is set.
+TAIL, RISK = 0.20, 1e-6
 #: The path resumes if the values around an excursion differ by no more than this share of it.
 RESUMES = 0.6
-#: Shape limits of the tail, and the exceedances a fit needs.
-SHAPE_LOW, SHAPE_HIGH, FEWEST = -0.3, 0.25, 12
 #: Bins of the residual histograms per factor of two.
-PER_OCTAVE = 8
+PER_OCTAVE = 16
+#: Exceedances that a tail of two parameters needs at least; with fewer a source has the tail of all, and all together have none.
+FEWEST = 4
+#: A tail as heavy as this has no mean; heavier ones are not fitted.
+HEAVIEST = 1.0
 
 
-def _placed(rows: DataFrame, values: list[str], carried: dict[str, Column]) -> DataFrame:
-    """Deduplicated rows with ``__ord`` (place in the source) and each ``carried`` value forward-filled, without gathering a source.
+def _placed(rows: DataFrame, values: list[str], counted: str, before: dict[str, Column], after: dict[str, Column]) -> DataFrame:
+    """Deduplicated rows with ``__ord``, the place among the source's rows where ``counted`` is present, and with the last present value of
+    each ``before`` up to the row and the first one of each ``after`` from the row on, without gathering a source.
 
-    Shards are counted, counts and last values are scanned over the shards of a source, and every shard numbers its own rows.
+    Shards are counted, counts and end values are scanned over the shards of a source, and every shard numbers its own rows. A row whose
+    ``counted`` is missing has the place of the one before it.
     """
     # repeats are reduced before anything is brought together by shard: a shard then has no more rows than days
     rows = rows.groupBy("__src", "__shard", "__day").agg(F.max(F.struct("__ver", *values)).alias("__b")).select("__src", "__shard", "__day", *[F.col(f"__b.{v}").alias(v) for v in values])
-    line = Window.partitionBy("__src").orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy("__src", "__shard").agg(F.count(F.lit(1)).alias("__n"), *[F.max_by(c, F.when(c.isNotNull(), F.col("__day"))).alias(f"__end_{k}") for k, c in carried.items()])
-    starts = ends.select(F.col("__src").alias("__s"), F.col("__shard").alias("__sh"), F.coalesce(F.sum("__n").over(line), F.lit(0)).alias("__before"), *[F.last(f"__end_{k}", ignorenulls=True).over(line).alias(f"__in_{k}") for k in carried])
+    line = Window.partitionBy("__src").orderBy("__shard")
+    past, future = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    ends = rows.groupBy("__src", "__shard").agg(
+        F.count(counted).alias("__n"),
+        *[F.max_by(c, F.when(c.isNotNull(), F.col("__day"))).alias(f"__last_{k}") for k, c in before.items()],
+        *[F.min_by(c, F.when(c.isNotNull(), F.col("__day"))).alias(f"__first_{k}") for k, c in after.items()],
+    )
+    starts = ends.select(
+        F.col("__src").alias("__s"), F.col("__shard").alias("__sh"), F.coalesce(F.sum("__n").over(past), F.lit(0)).alias("__before"),
+        *[F.last(f"__last_{k}", ignorenulls=True).over(past).alias(f"__in_{k}") for k in before],
+        *[F.first(f"__first_{k}", ignorenulls=True).over(future).alias(f"__in_{k}") for k in after],
+    )
     own = Window.partitionBy("__src", "__shard").orderBy("__day")
-    numbered = rows.select("*", F.row_number().over(own).alias("__rn"), *[F.last(c, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(f"__fill_{k}") for k, c in carried.items()])
+    upto, onward = own.rowsBetween(Window.unboundedPreceding, Window.currentRow), own.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    numbered = rows.select(
+        "*", F.count(counted).over(upto).alias("__rn"),
+        *[F.last(c, ignorenulls=True).over(upto).alias(f"__fill_{k}") for k, c in before.items()],
+        *[F.first(c, ignorenulls=True).over(onward).alias(f"__fill_{k}") for k, c in after.items()],
+    )
     met = numbered.join(starts, (F.col("__src") == F.col("__s")) & (F.col("__shard") == F.col("__sh")))
-    return met.select("__src", "__day", *values, (F.col("__rn") + F.col("__before") - 1).alias("__ord"), *[F.coalesce(f"__fill_{k}", f"__in_{k}").alias(k) for k in carried])
+    place = F.greatest(F.col("__rn") + F.col("__before") - 1, F.lit(0))
+    return met.select("__src", "__day", *values, place.alias("__ord"), *[F.coalesce(f"__fill_{k}", f"__in_{k}").alias(k) for k in [*before, *after]])
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
-    """Rows copied into their own block and, near its ends, into the neighbour's, so that windows of a block see past its ends."""
+    """Rows copied into their own block and, near its ends, into the neighbour's, so that windows of a block see past its ends.
+
+    Places count priced rows, so HALO of these are seen however many rows without a price lie between.
+    """
     block, at = F.floor(F.col("__ord") / BLOCK), F.pmod(F.col("__ord"), F.lit(BLOCK))
     near = F.when((at < HALO) & (block > 0), F.array(block, block - 1)).when(at >= BLOCK - HALO, F.array(block, block + 1)).otherwise(F.array(block))
     return rows.select("*", block.alias("__home"), F.explode(near).alias("__block"))
 
 
-def excursion(value: str, order: str = "__ord", partition: str = "__src, __block", raw: str | None = None, center: str | None = None) -> Column:
-    """How far a (log) value is from the path on both sides of it, where the path resumes after at most LONGEST rows; else 0.
+def neighbours(values: list[str], partition: str = "__src, __block", order: str = "__day") -> list[Column]:
+    """The LONGEST present values before (``<value>_b1``, ...) and after (``<value>_a1``, ...) each row."""
+    return [
+        F.expr(f"{how}({v}, {k}) ignore nulls over (partition by {partition} order by {order})").alias(f"{v}_{mark}{k}")
+        for v in values for how, mark in (("lag", "b"), ("lead", "a")) for k in range(1, LONGEST + 1)
+    ]
 
-    ``center`` is what the row itself counts as, ``value`` if not given. For each way in which the row may lie in a run, the last value before the run and the first after it give the path. The run counts if
-    the value is on the same side of both and they are close to each other in comparison.
-    """
-    def at(which: str, k: int, column: str) -> Column:
-        return F.expr(f"{which}({column}, {k}) ignore nulls over (partition by {partition} order by {order})")
 
+def excursion(value: str, raw: str, center: str) -> Column:
+    """How far ``center`` is from the path of the (log) ``value`` on both sides of it, where the path resumes after at most LONGEST rows; else 0.
+
+    For each way in which the row may lie in a run, the last value before the run and the first after it give the path. The run counts if
+    the row is on the same side of both and they are close to each other in comparison; and if the ``raw`` value moves too, as a wrong factor
+    alone is no excursion of the price.
+    """
     options = []
     for i in range(1, LONGEST + 1):
         for j in range(1, LONGEST + 2 - i):
-            down, up = F.col(center or value) - at("lag", i, value), F.col(center or value) - at("lead", j, value)
+            down, up = F.col(center) - F.col(f"{value}_b{i}"), F.col(center) - F.col(f"{value}_a{j}")
             least = F.least(F.abs(down), F.abs(up))
-            ok = (down * up > 0) & (F.abs(down - up) <= RESUMES * least)
-            if raw:  # the raw value must move too: a wrong factor alone is no excursion of the price
-                ok = ok & (F.greatest(F.abs(F.col(raw) - at("lag", i, raw)), F.abs(F.col(raw) - at("lead", j, raw))) > 0.5 * least)
-            options.append(F.when(ok, least))
+            moved = F.greatest(F.abs(F.col(raw) - F.col(f"{raw}_b{i}")), F.abs(F.col(raw) - F.col(f"{raw}_a{j}")))
+            options.append(F.when((down * up > 0) & (F.abs(down - up) <= RESUMES * least) & (moved > 0.5 * least), least))
     return F.coalesce(F.greatest(*options), F.lit(0.0))
 
 
-def tail_cutoffs(residuals: DataFrame) -> DataFrame:
-    """Per source, the cutoff of ``__e`` (residual) in terms of its own tail and of its ``__move`` (usual movement).
+def generalized_pareto(excess: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """(shape, scale) of the likeliest generalised Pareto law of excesses that occur n times each.
+
+    For theta = shape / scale the likeliest shape is the mean of log(1 + theta x), so that only theta is searched. Shapes are held to
+    (-1/2, HEAVIEST], where the likelihood is regular and the law has a mean.
+    """
+    total = n.sum()
+    mean, most = (excess * n).sum() / total, excess.max()
+    theta = np.concatenate([-np.geomspace(1e-3, 0.98, 24)[::-1] / most, np.geomspace(1e-3, 30.0, 24) / mean])
+    shape = (np.log1p(theta[:, None] * excess[None, :]) * n).sum(axis=1) / total
+    shape = np.where(np.abs(shape) < 1e-9, 1e-9, shape)
+    good = np.where((shape > -0.5) & (shape <= HEAVIEST), -np.log(shape / theta) - shape - 1, -np.inf)
+    k = int(np.argmax(good))
+    return float(shape[k]), float(shape[k] / theta[k])
+
+
+def median_excess(shape: float, scale: float) -> float:
+    return scale * (2.0**shape - 1) / shape
+
+
+def fit_tail(z: np.ndarray, n: np.ndarray, cutoff: float) -> tuple[int, float, float, float] | None:
+    """(exceedances, threshold, median excess, shape) of the tail of ascending residuals that occur n times each, those beyond the cutoff aside."""
+    normal = z <= cutoff
+    z, n = z[normal], n[normal]
+    upto = np.cumsum(n)
+    if not len(z):
+        return None
+    at = int(np.searchsorted(upto, (1 - TAIL) * upto[-1]))
+    over = n[at + 1:]
+    if over.sum() < FEWEST or len(over) < 2 or z[at] <= 0:
+        return None
+    shape, scale = generalized_pareto(z[at + 1:] - z[at], over)
+    return int(over.sum()), float(z[at]), median_excess(shape, scale), shape
 
-    Peaks over threshold on seasonal residuals: residuals are centred by weekday, binned, and the exceedances over the threshold with TAIL
-    above it give a generalised Pareto tail by moments; its quantile at RISK is the cutoff, held between LEAST_TIMES and MOST_TIMES usual movements.
-    Only histograms per source are gathered: at most a few hundred bins, whatever the number of rows.
+
+def tail_quantile(threshold: float, median: float, shape: float) -> float:
+    """The residual that a reading exceeds with probability RISK."""
+    shape = shape if abs(shape) > 1e-6 else 1e-6
+    return threshold + median / (2.0**shape - 1) * ((RISK / TAIL) ** -shape - 1)
+
+
+def pooled_tail(z: np.ndarray, n: np.ndarray) -> tuple[int, float, float, float] | None:
+    """The tail of the residuals of all sources, each in its own usual movements; None if there are too few.
+
+    Excursions are among them. The search goes forward: the first cutoff is that of an exponential tail with the median excess, which a few
+    excursions do not move; then residuals beyond the cutoff are left out and the tail is fitted by likelihood, until the cutoff stays.
+    """
+    upto = np.cumsum(n)
+    at = int(np.searchsorted(upto, (1 - TAIL) * upto[-1])) if len(z) else 0
+    over = n[at + 1:]
+    if over.sum() < FEWEST or len(over) < 2:
+        return None
+    half = float(z[at + 1 + int(np.searchsorted(np.cumsum(over), over.sum() / 2))] - z[at])
+    found = (int(over.sum()), float(z[at]), half, 0.0)
+    cutoff = tail_quantile(*found[1:])
+    for _ in range(20):
+        fitted = fit_tail(z, n, cutoff)
+        if fitted is None:
+            return found
+        found, before = fitted, cutoff
+        cutoff = tail_quantile(*found[1:])
+        if abs(cutoff - before) <= 1e-3 * before:
+            break
+    return found
+
+
+def _middle(x: np.ndarray) -> float:
+    """Median of ascending values with how often each occurs."""
+    return float(x[int(np.searchsorted(np.cumsum(x[:, 1]), x[:, 1].sum() / 2)), 0])
+
+
+def usual_and_seasons(moves: list[tuple[int, float, float]]) -> tuple[float, list[float], list[float], float, float] | None:
+    """Of (weekday, times, sum of moves): the usual movement, per weekday the mean logarithm of moves against that of all and how many moves
+    there were, and the squared deviations within weekdays with their degrees of freedom. None if nothing moves."""
+    sizes = np.array(sorted((s / n, n) for _, n, s in moves)).reshape(-1, 2)
+    moving = sizes[sizes[:, 0] > 0]
+    if not len(moving):
+        return None
+    usual = 1.4826 * (_middle(sizes) or _middle(moving))
+    some = [(w, n, np.log(s / n)) for w, n, s in moves if s > 0]
+    day, n, x = (np.array(c) for c in zip(*some))
+    count = np.bincount(day, n, 8)[1:]
+    mean = np.bincount(day, n * x, 8)[1:] / np.maximum(count, 1)
+    within = float((n * x * x).sum() - (count * mean * mean).sum())
+    apart = np.where(count > 0, mean - (n * x).sum() / n.sum(), 0.0)
+    return usual, apart.tolist(), count.tolist(), within, float(np.maximum(count - 1, 0).sum())
+
+
+def tail_cutoffs(readings: DataFrame) -> DataFrame:
+    """Per source (``__s``), its usual movement (``__usual``), the factor of each weekday (``__season``) and the cutoff of ``__e`` over that
+    factor (``__cutoff``; null where there is no tail at all).
+
+    Peaks over threshold on seasonal residuals: an excursion over the factor of its weekday is a residual. The residuals of a source above its own
+    threshold, which TAIL of them exceed, have a generalised Pareto tail; its quantile at RISK is the cutoff. Residuals beyond the cutoff are
+    no normal behaviour: the fit leaves out those beyond the pooled cutoff of all sources, and is then made again without those beyond
+    its own. Histories are short or long: factors, threshold, median excess and shape of a source are drawn towards those of all as far as
+    their sampling variance outweighs the variance between sources, which is estimated from all of them. So a long history has its own
+    tail and a short one that of its like.
+
+    A source is reduced to histograms of PER_OCTAVE bins per factor of two; only the histogram of all and a few variances are collected.
     """
     def binned(c: Column) -> Column:
-        return F.floor(F.log2(c) * PER_OCTAVE).cast("int")
-
-    values = residuals.select("__src", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("__move").alias("x")), F.struct(F.lit(1).alias("kind"), F.col("__e").alias("x")))).alias("v")).where("v.x is not null")
-    bins = values.groupBy("__src", F.col("v.kind").alias("kind"), F.when(F.col("v.x") > 1e-9, binned(F.col("v.x"))).otherwise(-999).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("v.x").alias("s"), F.sum(F.col("v.x") * F.col("v.x")).alias("ss"), F.min("v.x").alias("low"))
-    line = Window.partitionBy("__src", "kind").orderBy("bin")
-    ranked = bins.select("*", F.sum("n").over(line).alias("upto"), F.sum("n").over(Window.partitionBy("__src", "kind")).alias("all"))
-    usual = ranked.where("kind = 0").groupBy("__src").agg(F.min_by(F.col("s") / F.col("n"), F.when(F.col("upto") >= F.col("all") * 0.5, F.col("bin"))).alias("__median"))
-    usual = usual.select(F.col("__src").alias("__s"), (F.col("__median") * 1.4826).alias("__usual"))
-    tail = ranked.where("kind = 1").join(usual, F.col("__src") == F.col("__s")).where(F.col("low") < GROSS * F.col("__usual"))
-    over = tail.withColumn("u", F.min(F.when(F.col("upto") - F.col("n") >= F.col("all") * (1 - TAIL), F.col("low"))).over(Window.partitionBy("__src"))).groupBy("__src").agg(
-        F.first("__usual").alias("__usual"), F.first("u").alias("u"), F.first("all").alias("all"),
-        F.sum(F.when(F.col("low") >= F.col("u"), F.col("n"))).alias("k"), F.sum(F.when(F.col("low") >= F.col("u"), F.col("s"))).alias("s"), F.sum(F.when(F.col("low") >= F.col("u"), F.col("ss"))).alias("ss"),
-    )
-    mean = F.try_divide("s", "k") - F.col("u")
-    spread = F.greatest(F.try_divide("ss", "k") - F.pow(F.try_divide("s", "k"), F.lit(2)), F.lit(1e-18))
-    odds = mean * mean / spread
-    shape = F.least(F.greatest(0.5 * (1 - odds), F.lit(SHAPE_LOW)), F.lit(SHAPE_HIGH))
-    shape = F.when(F.abs(shape) < 1e-3, 1e-3).otherwise(shape)
-    scale = mean * (1 - shape)
-    quantile = F.col("u") + scale / shape * (F.pow(F.lit(RISK) * F.col("all") / F.col("k"), -shape) - 1)
-    fitted = over.select("__src", "__usual", F.when(F.col("k") >= FEWEST, quantile).alias("q"))
-    cutoff = F.least(F.greatest(F.coalesce("q", F.lit(0.0)), LEAST_TIMES * F.col("__usual")), MOST_TIMES * F.col("__usual"))
-    out = usual.join(fitted.select("__src", "q"), F.col("__src") == F.col("__s"), "left").select("__s", "__usual", cutoff.alias("__cutoff"))
-    return out
+        return F.when(c > 1e-9, F.floor(F.log2(c) * PER_OCTAVE).cast("int"))
+
+    x = F.col("v.x")
+    values = readings.select("__src", F.dayofweek("__day").alias("wd"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("__move").alias("x")), F.struct(F.lit(1).alias("kind"), F.col("__e").alias("x")))).alias("v")).where(x.isNotNull())
+    bins = values.groupBy("__src", "wd", F.col("v.kind").alias("kind"), binned(x).alias("bin")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.when(x > 1e-9, x).otherwise(0.0)).alias("s"))
+    by_source = bins.groupBy("__src").agg(*[F.collect_list(F.when(F.col("kind") == k, F.struct("wd", "n", "s"))).alias(f"b{k}") for k in (0, 1)])
+
+    def profile(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = []
+            for src, moves, es in zip(pdf["__src"], pdf["b0"], pdf["b1"]):
+                got = usual_and_seasons([(b["wd"], b["n"], b["s"]) for b in moves])
+                if got and len(es):
+                    out.append((src, *got, [b["wd"] for b in es], [b["s"] / b["n"] for b in es], [b["n"] for b in es]))
+            yield pd.DataFrame(out, columns=["__s", "__usual", "apart", "times", "within", "free", "wd", "e", "n"])
+
+    kind = readings.schema["__src"].dataType.simpleString()
+    profiles = stage_table(by_source.mapInPandas(profile, f"__s {kind}, __usual double, apart array<double>, times array<double>, within double, free double, wd array<int>, e array<double>, n array<double>"), "tails")
+    cell = F.arrays_zip("apart", "times")
+    summed = {"d": lambda c: c.times * c.times * c.apart * c.apart, "t": lambda c: c.times, "tt": lambda c: c.times * c.times}
+    spread = profiles.select("within", "free", *[F.aggregate(F.transform(cell, each), F.lit(0.0), lambda t, c: t + c).alias(k) for k, each in summed.items()])
+    sums = spread.agg(*[F.sum(c).alias(c) for c in spread.columns]).first()
+    inside = sums.within / sums.free if sums.free else 0.0
+    between = max(0.0, (sums.d - inside * sums.t) / sums.tt) if sums.tt else 0.0
+    # a factor counts as far as weekdays differ by more than chance
+    season = F.transform(cell, lambda c: F.exp(c.apart * F.coalesce(F.try_divide(F.lit(between) * c.times, F.lit(between) * c.times + F.lit(inside)), F.lit(0.0))))
+    scaled = profiles.select("__s", "__usual", season.alias("__season"), "wd", "e", "n")
+    scaled = scaled.select("__s", "__usual", "__season", F.transform(F.arrays_zip("e", "wd"), lambda c: c.e / F.col("__usual") / F.element_at("__season", c.wd)).alias("z"), "n")
+    each = scaled.select(F.explode(F.arrays_zip("z", "n")).alias("x")).select("x.z", "x.n")
+    whole = each.groupBy(binned(F.col("z")).alias("bin")).agg(F.sum("n").alias("n"), F.sum(F.col("z") * F.col("n")).alias("s")).collect()
+    z, n = np.array(sorted((r.s / r.n, r.n) for r in whole)).reshape(-1, 2).T
+    pool = pooled_tail(z, n)
+    if pool is None:
+        return scaled.select("__s", "__usual", "__season", F.lit(None).cast("double").alias("__cutoff"))
+    _, threshold, middle, shape = pool
+    columns = ["__s", "__usual", "__season", "z", "n"]
+
+    def fits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = []
+            for z, n, cutoff in zip(pdf["z"], pdf["n"], pdf["cutoff"]):
+                order = np.argsort(z)
+                k, u, m, x = fit_tail(z[order], n[order], cutoff) or (0, threshold, middle, shape)
+                out.append((float(k), np.log(u / threshold), np.log(m / middle), x - shape))
+            yield pdf[columns].assign(**dict(zip(("k", "d0", "d1", "d2"), np.array(out).reshape(-1, 4).T)))
+
+    schema = f"__s {kind}, __usual double, __season array<double>, z array<double>, n array<double>, k double, d0 double, d1 double, d2 double"
+    # sampling variance of each parameter, times the number of exceedances
+    noise = [(scale_of(middle, shape) / threshold) ** 2, 1 / np.log(2) ** 2, (1 + shape) ** 2]
+    current = scaled.withColumn("cutoff", F.lit(tail_quantile(threshold, middle, shape)))
+    for _ in range(2):
+        fitted = stage_table(current.mapInPandas(fits, schema), "tails")
+        k = F.col("k")
+        apart = fitted.agg(*[(F.try_divide(F.sum(k * k * F.pow(f"d{i}", F.lit(2)) - k * noise[i]), F.sum(k * k))).alias(f"t{i}") for i in range(3)]).first()
+        real = [F.lit(max(t or 0.0, 0.0)) * k for t in apart]
+        kept = [F.col(f"d{i}") * F.coalesce(F.try_divide(real[i], real[i] + F.lit(noise[i])), F.lit(0.0)) for i in range(3)]
+        x = kept[2] + F.lit(shape)
+        x = F.when(F.abs(x) > 1e-6, x).otherwise(1e-6)
+        quantile = F.exp(kept[0]) * threshold + F.exp(kept[1]) * middle / (F.pow(F.lit(2.0), x) - 1) * (F.pow(F.lit(RISK / TAIL), -x) - 1)
+        current = fitted.select(*columns, quantile.alias("cutoff"))
+    return current.select("__s", "__usual", "__season", (F.col("cutoff") * F.col("__usual")).alias("__cutoff"))
+
+
+def scale_of(median: float, shape: float) -> float:
+    """Scale of the law with this median excess."""
+    return median * shape / (2.0**shape - 1)
 
 
 def flag_bars(bars: DataFrame, source: str = "symbol", day: str = "date", *, version: str = "updated_at", prices: tuple[str, str, str, str] = ("open", "high", "low", "close"), volume: str = "volume", factor: str | None = "adj_factor", tolerance: float = 1e-6) -> DataFrame:
@@ -137,15 +298,18 @@ def flag_bars(bars: DataFrame, source: str = "symbol", day: str = "date", *, ver
         quoted(source).alias("__src"), when.alias("__day"), F.floor(F.datediff(when, epoch) / F.lit(SHARD_DAYS)).cast("int").alias("__shard"), quoted(version).alias("__ver"),
         F.when(positive, F.log(c)).alias("__raw"), quote.alias("__quote"), (number(factor) if factor else F.lit(1.0)).alias("__f"), impossible.alias("__impossible"), F.coalesce(broken, F.lit(False)).alias("__broken"),
     ).where("__src is not null and __day is not null and __shard is not null")  # all that joins will ask for, so that both uses plan alike and share a shuffle
-    placed = _placed(rows, ["__raw", "__quote", "__f", "__impossible", "__broken"], {"__factor": F.when(F.col("__f") > 0, F.col("__f"))})
-    known = F.round(F.log(F.when(F.col("__f") > 0, F.col("__f"))), 9)
-    blocks = _in_blocks(placed.withColumns({"__p": F.col("__raw") + F.round(F.log(F.coalesce("__factor", F.lit(1.0))), 9), "__known": known}).drop("__factor", "__f"))
-    line = Window.partitionBy("__src", "__block").orderBy("__ord")
-    same = F.coalesce(F.col("__quote") == F.lag("__quote").over(line), F.lit(False))
+    given = F.when(F.col("__f") > 0, F.col("__f"))
+    placed = _placed(rows, ["__raw", "__quote", "__f", "__impossible", "__broken"], "__raw", {"__factor": given}, {"__next": given})
     # a row without a factor may belong to the one before or to the next: it is an excursion only if it is under both
-    later = F.expr("lead(__known, 1) ignore nulls over (partition by __src, __block order by __ord)")
-    blocks = blocks.withColumn("__q", F.when(F.col("__known").isNull(), F.col("__raw") + later))
-    seen = blocks.select("*", same.alias("__same"), excursion("__p", raw="__raw").alias("__e1"), F.when(F.col("__q").isNotNull(), excursion("__p", raw="__raw", center="__q")).alias("__e2"), F.abs(F.col("__p") - F.expr("lag(__p, 1) ignore nulls over (partition by __src, __block order by __ord)")).alias("__move"))
+    held = F.col("__raw") + F.round(F.log(F.coalesce("__factor", F.lit(1.0))), 9)
+    other = F.when(given.isNull(), F.col("__raw") + F.round(F.log("__next"), 9))
+    blocks = _in_blocks(placed.withColumns({"__p": held, "__q": other}).drop("__factor", "__next", "__f"))
+    line = Window.partitionBy("__src", "__block").orderBy("__day")
+    same = F.coalesce(F.col("__quote") == F.lag("__quote").over(line), F.lit(False))
+    around = blocks.select("*", same.alias("__same"), *neighbours(["__p", "__raw"]))
+    seen = around.select(
+        *blocks.columns, "__same", excursion("__p", "__raw", "__p").alias("__e1"), F.when(F.col("__q").isNotNull(), excursion("__p", "__raw", "__q")).alias("__e2"), F.abs(F.col("__p") - F.col("__p_b1")).alias("__move"),
+    )
     need = STUCK_RUN - 1
     back, ahead, run = F.lit(True), F.lit(True), F.lit(1)
     for k in range(need):
@@ -154,12 +318,7 @@ def flag_bars(bars: DataFrame, source: str = "symbol", day: str = "date", *, ver
         run = run + back.cast("int") + ahead.cast("int")
     marked = seen.select("__src", "__day", "__home", "__block", F.when(F.col("__p").isNotNull(), F.least("__e1", "__e2")).alias("__e"), "__move", "__impossible", "__broken", (run >= STUCK_RUN).alias("__stuck"))
     staged = stage_table(marked.where("__home = __block").drop("__home", "__block"), "flags")
-    # seasonal part: the weekday's share of a source's movement is taken off before the tail is fitted
-    season = staged.groupBy("__src", F.dayofweek("__day").alias("__wd")).agg(F.avg(F.least("__e", "__move")).alias("__m"))
-    season = season.select(F.col("__src").alias("__s"), "__wd", (F.col("__m") - F.avg("__m").over(Window.partitionBy("__src"))).alias("__season"))
-    fit = staged.where("__e is not null").join(season, (F.col("__src") == F.col("__s")) & (F.dayofweek("__day") == F.col("__wd")), "left")
-    cutoffs = tail_cutoffs(fit.select("__src", "__move", F.greatest(F.col("__e") - F.coalesce("__season", F.lit(0.0)), F.lit(0.0)).alias("__e")))
-    known = staged.join(cutoffs, F.col("__src") == F.col("__s"), "left")
+    known = staged.join(tail_cutoffs(staged), F.col("__src") == F.col("__s"), "left").withColumn("__e", F.col("__e") / F.element_at("__season", F.dayofweek("__day")))
     spike = F.coalesce(F.col("__e") > F.col("__cutoff"), F.lit(False))
     kinds_found = F.array(
         F.when(F.col("__impossible"), F.struct(F.lit("impossible").alias("fault_kind"), F.lit(None).cast("double").alias("score"))),

@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 
 from barloom.operators import spikes
@@ -89,3 +90,69 @@ def test_few_rows_constant_rows_and_none(spark):
 def test_other_columns_do_no_harm(spark):
     df = spark.createDataFrame([(*b, "x", 1) for b in map(tuple, walk("a", 30, 4))], SCHEMA + ", fault_kind string, score int")
     assert rows(spikes.flag_bars(df)) == []
+
+
+def test_a_law_is_recovered_from_its_bins():
+    rng = np.random.default_rng(5)
+    for shape, scale in ((0.3, 2.0), (-0.2, 1.0), (0.05, 0.5)):
+        x = scale / shape * (rng.uniform(size=20000) ** -shape - 1)
+        bins = np.floor(np.log2(x) * spikes.PER_OCTAVE)
+        each = [x[bins == b] for b in np.unique(bins)]
+        got = spikes.generalized_pareto(np.array([e.mean() for e in each]), np.array([float(len(e)) for e in each]))
+        assert got == pytest.approx((shape, scale), abs=0.06 * max(1, scale))
+
+
+def test_pooled_tail_leaves_excursions_aside():
+    rng = np.random.default_rng(6)
+    clean = np.sort(rng.exponential(1.0, 4000))
+    dirty = np.sort(np.concatenate([clean, np.full(60, 40.0)]))
+    ones = np.ones
+    a, b = (spikes.tail_quantile(*spikes.pooled_tail(z, ones(len(z)))[1:]) for z in (clean, dirty))
+    assert a == pytest.approx(-math.log(spikes.RISK), rel=0.35) and b == pytest.approx(a, rel=0.15)
+    assert spikes.pooled_tail(np.array([]), np.array([])) is None and spikes.pooled_tail(np.array([0.0, 1.0]), np.array([5.0, 5.0])) is None
+
+
+def residuals(spark, per_source):
+    """Rows of (source, day, excursion, movement)."""
+    data = [(s, dt.date(2022, 1, 1) + dt.timedelta(days=i), float(e), float(m)) for s, (es, ms) in per_source.items() for i, (e, m) in enumerate(zip(es, ms))]
+    return spark.createDataFrame(data, "__src string, __day date, __e double, __move double")
+
+
+def test_every_source_has_its_own_cutoff_and_short_ones_that_of_all(spark):
+    rng = np.random.default_rng(7)
+    n = 6000
+    calm = {f"calm{i}": (0.01 * rng.uniform(0, 2, n), np.abs(rng.normal(0, 0.01, n))) for i in range(4)}
+    wild = {f"wild{i}": (0.03 * np.abs(rng.standard_t(3, n)), np.abs(rng.normal(0, 0.01, n))) for i in range(4)}
+    short = {"short": (np.concatenate([0.01 * rng.uniform(0, 2, 12), [5.0]]), np.abs(rng.normal(0, 0.01, 13)))}
+    still = {"still": (np.zeros(20), np.zeros(20))}
+    got = {r["__s"]: r["__cutoff"] / r["__usual"] for r in spikes.tail_cutoffs(residuals(spark, calm | wild | short | still)).collect()}
+    assert set(got) == {*calm, *wild, *short}
+    # uniform residuals end at 2 usual movements, those of the wild ones go on: no constant serves both
+    assert all(1.9 < got[s] < 4 for s in calm) and all(got[s] > 12 for s in wild)
+    assert 4 < got["short"] < min(got[s] for s in wild) and got["short"] * 0.01 < 5.0
+
+
+def test_weekdays_differ_only_where_they_do(spark):
+    rng = np.random.default_rng(8)
+    n = 2800
+    days = [dt.date(2022, 1, 1) + dt.timedelta(days=i) for i in range(n)]
+    calm = np.abs(rng.normal(0, 0.01, n))
+    busy = calm * np.array([8.0 if d.weekday() == 0 else 1.0 for d in days])
+    even = spikes.tail_cutoffs(residuals(spark, {"a": (calm, calm)})).first()
+    odd = spikes.tail_cutoffs(residuals(spark, {"a": (busy, busy)})).first()
+    assert max(even["__season"]) < 1.15 * min(even["__season"])
+    assert odd["__season"][1] > 5 * max(x for i, x in enumerate(odd["__season"]) if i != 1)  # Mondays
+
+
+def test_gaps_at_the_end_of_a_block(spark, monkeypatch):
+    monkeypatch.setattr(spikes, "BLOCK", 64)
+    bars = walk("a", 260, 9)
+    for i in range(56, 65):
+        bars[i][5] = None
+    scale(bars[65], 1.5)  # behind nine missing prices and the end of a block
+    for i in range(110, 140):
+        bars[i][7] = None  # the factor is missing for longer than a block sees
+    for b in bars[140:]:
+        scale(b, 0.5)
+        b[7] = 2.0
+    assert {x[1] for x in flags(spark, bars) if x[2] == "spike"} == {65}

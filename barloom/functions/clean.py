@@ -50,7 +50,8 @@ def canon_symbol(c: Column | str) -> Column:
     bare = F.upper(F.regexp_replace(narrow(c), r"[\s ]+", ""))
     code = F.regexp_extract(bare, r"(\d{6})", 1)
     place = F.regexp_extract(bare, "(" + "|".join(EXCHANGES) + ")", 1)
-    return F.when((code != "") & (place != ""), F.concat(code, F.lit("."), place)).otherwise(bare)
+    spelled = F.when((code != "") & (place != ""), F.concat(code, F.lit("."), place)).otherwise(bare)
+    return F.when(col(c).rlike(r"^\d{6}\.(?:" + "|".join(EXCHANGES) + r")\z"), col(c)).otherwise(spelled)
 
 
 def canon_code(c: Column | str) -> Column:

@@ -8,28 +8,49 @@ from pyspark.sql import Column, functions as F
 
 from barloom.functions.clean import col, narrow
 
-#: Unit texts (lower case, without blanks) and the power of ten to lots of 100 shares, yuan and percent.
-POWERS: dict[str, dict[str, int]] = {
-    "volume": {
-        "手": 0, "lot": 0, "lots": 0, "股": -2, "share": -2, "shares": -2, "shs": -2,
-        "千股": 1, "kshares": 1, "thousandshares": 1, "万股": 2, "萬股": 2, "w股": 2, "10kshares": 2, "tenthousandshares": 2,
-        "千手": 3, "klots": 3, "万手": 4, "萬手": 4, "w手": 4, "10klots": 4, "百万股": 4, "millionshares": 4, "亿股": 6, "億股": 6,
-    },
-    "amount": {
-        "元": 0, "yuan": 0, "cny": 0, "rmb": 0, "千元": 3, "kcny": 3, "thousandyuan": 3,
-        "万": 4, "萬": 4, "w": 4, "万元": 4, "萬元": 4, "w元": 4, "10kcny": 4, "tenthousandyuan": 4,
-        "百万": 6, "百万元": 6, "mncny": 6, "millionyuan": 6, "千万元": 7, "亿": 8, "億": 8, "亿元": 8, "億元": 8, "100mncny": 8,
-    },
+#: Words for a multiple (lower case, without blanks) and its power of ten. The first kind may stand before the second.
+COUNTS = {"十": 1, "百": 2, "千": 3, "10": 1, "100": 2, "1000": 3, "ten": 1, "hundred": 2}
+MULTIPLES = {"千": 3, "万": 4, "萬": 4, "亿": 8, "億": 8, "k": 3, "w": 4, "mn": 6, "bn": 9, "thousand": 3, "million": 6, "billion": 9}
+MULTIPLIERS = COUNTS | MULTIPLES | {a + b: x + y for a, x in COUNTS.items() for b, y in MULTIPLES.items() if a != b}
+
+#: Units (lower case, without blanks) and the power of ten to lots of 100 shares, yuan and percent.
+BASES: dict[str, dict[str, int]] = {
+    "volume": {"手": 0, "lot": 0, "lots": 0, "股": -2, "share": -2, "shares": -2, "shs": -2},
+    "amount": {"元": 0, "yuan": 0, "cny": 0, "rmb": 0},
     "turnover_rate": {"%": 0, "pct": 0, "percent": 0, "‰": -1, "permille": -1, "bp": -2, "bps": -2, "fraction": 2, "ratio": 2},
 }
+#: Fields whose unit takes a multiple before it, and those where a multiple alone is enough.
+MULTIPLIED, BARE = {"volume", "amount"}, {"amount"}
+
+#: Powers among which an unstated unit is sought.
+CONVERSIONS: dict[str, tuple[int, ...]] = {"volume": (-2, 0, 1, 2, 3, 4, 6), "amount": (0, 3, 4, 6, 7, 8), "turnover_rate": (-2, -1, 0, 2)}
 
 NUMBER = r"^([+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d*)?(?:[eE][+-]?\d+)?)"
 
 
+def _power(words: dict[str, int], text: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(words.items())]), text)
+
+
 def unit_power(field: str, unit: Column | str) -> Column:
-    """The power of a unit text; NULL if the text is missing or unknown."""
-    names = F.create_map(*[F.lit(x) for x in chain.from_iterable(POWERS[field].items())])
-    return F.try_element_at(names, F.lower(F.regexp_replace(narrow(unit), r"[\s ]+", "")))
+    """The power of a unit text, that of its multiple included; NULL if the text is missing or unknown."""
+    text = F.lower(F.regexp_replace(narrow(unit), r"[\s ]+", ""))
+    bases = BASES[field]
+    if field not in MULTIPLIED:
+        return _power(bases, text)
+    base = F.regexp_extract(text, f"({'|'.join(sorted(bases, key=len, reverse=True))})$", 1)
+    multiple = F.substring(text, F.lit(1), F.length(text) - F.length(base))
+    known = F.when(base != "", _power(bases, base))
+    if field in BARE:
+        known = F.coalesce(known, F.when(text != "", F.lit(0)))
+    return known + F.when(multiple == "", 0).otherwise(_power(MULTIPLIERS, multiple))
+
+
+def plain_number(raw: Column | str) -> Column:
+    """The value of a text that is nothing but a number in plain notation; NULL for others, which number_and_unit may still read."""
+    raw = col(raw)
+    # a last character that is no digit would be a mark of type or a word for not a number; hexadecimal forms have an x
+    return F.when(F.substring(raw, -1, 1).between("0", "9") & (F.instr(raw, "x") == 0) & (F.instr(raw, "X") == 0), raw.try_cast("double"))
 
 
 def number_and_unit(raw: Column | str) -> tuple[Column, Column]:

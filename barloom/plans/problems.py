@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.functions import clean
+from barloom.functions.units import BARE, BASES, CONVERSIONS, MULTIPLIED, MULTIPLIERS
 from barloom.operators.asof import known_at
 from barloom.operators.copydiff import diff_copies
 from barloom.operators.regrid import regularize
@@ -32,55 +33,61 @@ def p1_differences(spark: SparkSession, sf: str) -> DataFrame:
     return bar_copies(spark, sf).select("symbol", clean.day_text("day").alias("date"), "kind", "field", F.col("left_value").try_cast("double").alias("bars_value"), F.col("right_value").try_cast("double").alias("xdxr_value"), "n")
 
 
+FIGURES = ("volume", "amount", "turnover_rate")
+
+
 class BarUnits(UnitHarmonizer):
-    """Bars: volume in lots, amount in yuan, turnover in percent of the float."""
+    """Bars: volume in lots, amount in yuan, turnover in percent of the float. Without ``figures``, rows have no say and only links do."""
 
-    def __init__(self):
+    def __init__(self, figures: bool = True):
         super().__init__(
             {"volume": ("volume", "volume_unit"), "amount": ("amount", "amount_unit"), "turnover_rate": ("turnover_rate", "turnover_unit")},
             [
                 Relation("volume", "amount", "log10(case when close > 0 then close end) + 2"),
                 Relation("volume", "turnover_rate", "4 - log10(case when float_shares > 0 then cast(float_shares as double) end)"),
                 Relation("amount", "turnover_rate", "2 - log10(case when float_shares > 0 then cast(float_shares as double) end) - log10(case when close > 0 then close end)"),
-            ],
+            ] if figures else [],
             row_id="delivery_id", source="source", entity=["__sym", "date"], delivered="fetched_at",
         )
 
-    def hints(self, c):
-        """Shares come in whole lots of 100; percent is written with at most four decimals."""
-        v, t = F.col("n_volume"), F.col("n_turnover_rate") * 10000
-        lots = F.when(F.abs(v - 100 * F.round(v / 100)) > 1e-6, F.when(c["volume"] == -2, 0.5).otherwise(0.0)).otherwise(F.when(c["volume"] == 0, 0.05).otherwise(0.0))
-        fine = F.when(F.abs(t - F.round(t)) > 1e-4, F.when(c["turnover_rate"] == 0, 0.3).otherwise(0.0)).otherwise(F.when(c["turnover_rate"] == 2, 0.05).otherwise(0.0))
-        return F.when(F.col("p_volume").isNull(), F.coalesce(lots, F.lit(0.0))).otherwise(0.0) + F.when(F.col("p_turnover_rate").isNull(), F.coalesce(fine, F.lit(0.0))).otherwise(0.0)
-
 
 def deliveries(spark: SparkSession, sf: str) -> DataFrame:
     bars = table(spark, sf, "source_bars")
     return bars.select("delivery_id", "source", clean.canon_symbol("symbol").alias("__sym"), "date", clean.present("close").alias("close"), "volume", "volume_unit", "amount", "amount_unit", "turnover_rate", "turnover_unit", "fetched_at")
 
 
-def common_units(spark: SparkSession, sf: str) -> DataFrame:
+def common_units(spark: SparkSession, sf: str, figures: bool = True) -> DataFrame:
     floats = table(spark, sf, "instruments").where("symbol is not null").groupBy(clean.canon_symbol("symbol").alias("__sym")).agg(F.max("float_shares").alias("float_shares"))
-    return BarUnits().harmonize(deliveries(spark, sf), table(spark, sf, "feed_units"), context=floats, context_key="__sym", keep=["close"])
+    return BarUnits(figures).harmonize(deliveries(spark, sf), table(spark, sf, "feed_units"), context=floats, context_key="__sym", keep=["close"])
+
+
+def powers(units: DataFrame, asked: str, *more: str) -> DataFrame:
+    """(delivery_id, field, power) of the figures for which the condition holds, and more columns kept per field."""
+    each = F.array(*[F.when(F.expr(asked.format(f)), F.struct(F.lit(f).alias("field"), F.col(f"p_{f}").cast("bigint").alias("power"), *[F.col(f"{m}_{f}").alias(m) for m in more])) for f in FIGURES])
+    return units.select("delivery_id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("delivery_id", "x.field", "x.power", *[f"x.{m}" for m in more])
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    fields = ("volume", "amount", "turnover_rate")
-    each = F.array(*[F.when(F.col(f"p_{f}") != 0, F.struct(F.lit(f).alias("field"), F.col(f"p_{f}").cast("bigint").alias("power"))) for f in fields])
-    return common_units(spark, sf).select("delivery_id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("delivery_id", "x.field", "x.power")
+    return powers(common_units(spark, sf), "p_{0} <> 0")
+
+
+def p2_linked(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the graph of sources alone comes to what the row's figures say: inferred figures by field, both powers, and whether other sources have a value."""
+    alone = powers(common_units(spark, sf, figures=False), "i_{0}", "l").select(F.col("delivery_id").alias("__d"), F.col("field").alias("__f"), F.col("power").alias("by_links"), F.col("l").alias("linked"))
+    both = powers(common_units(spark, sf), "i_{0}").join(alone, (F.col("delivery_id") == F.col("__d")) & (F.col("field") == F.col("__f")))
+    return both.groupBy("field", "linked", F.col("power").alias("by_figures"), "by_links").agg(F.count(F.lit(1)).alias("n"))
 
 
 def p2_values(spark: SparkSession, sf: str) -> DataFrame:
     """Every delivery in lots, yuan and percent; which figures' units were inferred."""
-    fields = ("volume", "amount", "turnover_rate")
-    return common_units(spark, sf).select("delivery_id", "source", *[F.round(F.col(f"n_{f}") * F.pow(F.lit(10.0), F.col(f"p_{f}")), 6).alias(f) for f in fields], F.concat_ws(",", *[F.when(F.col(f"i_{f}"), F.lit(f)) for f in fields]).alias("inferred"))
+    return common_units(spark, sf).select("delivery_id", "source", *[F.round(f"v_{f}", 6).alias(f) for f in FIGURES], F.concat_ws(",", *[F.when(F.col(f"i_{f}"), F.lit(f)) for f in FIGURES]).alias("inferred"))
 
 
 def p2_conversions(spark: SparkSession, sf: str) -> DataFrame:
     """Conversions that links to other sources show for figures without stated units: one row per source, field and power."""
     units = BarUnits()
     _, pairs = units.links(units.read(deliveries(spark, sf), table(spark, sf, "feed_units"), []))
-    return spark.createDataFrame(conversion_table(units.graph(pairs)), "source string, field string, power int, share double")
+    return spark.createDataFrame(conversion_table(units.graph(pairs)[0]), "source string, field string, power int, share double")
 
 
 def gridded(spark: SparkSession, sf: str, fields: list[str]) -> DataFrame:
@@ -130,7 +137,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_changes(spark, sf).drop("changed_fields")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_differences, p2_found, p2_values, p2_conversions, p3_found, p3_grid, p4_found, p4_signals, p5_found, p6_found, p6_changes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_differences, p2_found, p2_linked, p2_values, p2_conversions, p3_found, p3_grid, p4_found, p4_signals, p5_found, p6_found, p6_changes)}
 
 #: DuckDB expressions for the raw forms.
 SQL_SYMBOL = "regexp_extract({0}, '([0-9]{{6}})', 1) || '.' || regexp_extract(upper({0}), '(SH|SZ|BJ)', 1)"
@@ -146,6 +153,50 @@ SQL_PERIOD = f"""coalesce({SQL_DAY}, try_cast(substr({{0}}, 1, 4) || CASE
     WHEN {{0}} LIKE '%Q3' OR {{0}} LIKE '%三季报' THEN '-09-30' WHEN {{0}} LIKE '%Q4' OR {{0}} LIKE '%年报' THEN '-12-31' END AS DATE))"""
 SQL_REPORTS = f"""SELECT report_id, lpad(trim(code), 6, '0') AS code, {SQL_PERIOD.format('period')} AS period, {SQL_DAY.format('ann_date')} AS ann_date, {SQL_VALUE.format('roe')} AS roe FROM yjbb"""
 
+
+
+def _sql_powers() -> str:
+    """(field, unit, power) of every multiple before every unit."""
+    rows = []
+    for f, bases in BASES.items():
+        rows += [(f, b, p) for b, p in bases.items()]
+        if f in MULTIPLIED:
+            rows += [(f, m + b, x + p) for m, x in MULTIPLIERS.items() for b, p in bases.items()]
+        if f in BARE:
+            rows += [(f, m, x) for m, x in MULTIPLIERS.items()]
+    return "VALUES " + ", ".join(f"('{f}', '{u}', {p})" for f, u, p in rows)
+
+
+def _sql_units() -> str:
+    """p: delivery_id, source, n_, p_ (power, inferred from the figures of the row where it isn't stated) and i_ per field."""
+    unit = f"lower(regexp_replace(translate({{0}}, '０１２３４５６７８９－／．，＋　：％', '0123456789-/.,+ :%'), '[\\s\u00a0]+', '', 'g'))"
+    number = r"^([+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]*)?(?:[eE][+-]?[0-9]+)?)"
+    read = " UNION ALL ".join(f"""SELECT delivery_id, source, fetched_at::DATE AS d, '{f}' AS field, {unit.format(f)} AS u, {unit.format(c)} AS c FROM source_bars""" for f, c in zip(FIGURES, ("volume_unit", "amount_unit", "turnover_unit")))
+    wide = ", ".join(f"max(n) FILTER (field = '{f}') AS n{i}, max(p) FILTER (field = '{f}') AS p{i}" for i, f in enumerate(FIGURES))
+    sets = " CROSS JOIN ".join(f"(SELECT unnest({list(CONVERSIONS[f])}) AS c{i})" for i, f in enumerate(FIGURES))
+    open_ = " AND ".join(f"((p{i} IS NULL AND n{i} IS NOT NULL) OR c{i} = (SELECT min(x) FROM (SELECT unnest({list(CONVERSIONS[f])}) AS x)))" for i, f in enumerate(FIGURES))
+    at = [f"(CASE WHEN n{i} > 0 THEN log10(n{i}) END + CASE WHEN p{i} IS NULL THEN c{i} ELSE p{i} END)" for i in range(3)]
+    price, held = "log10(CASE WHEN close > 0 THEN close END)", "log10(CASE WHEN float_shares > 0 THEN float_shares::DOUBLE END)"
+    own = " + ".join(f"coalesce(abs({x}), 0)" for x in (f"{at[0]} - {at[1]} + {price} + 2", f"{at[0]} - {at[2]} + 4 - {held}", f"{at[1]} - {at[2]} + 2 - {held} - {price}"))
+    linked = " + ".join(f"CASE WHEN p{i} IS NULL AND n{i} IS NOT NULL THEN coalesce(abs({at[i]} - m{i}), 0) ELSE 0 END" for i in range(3))
+    means = ", ".join(f"avg(avg(CASE WHEN n{i} > 0 THEN log10(n{i}) + p{i} END)) OVER (PARTITION BY symbol, date) AS m{i}" for i in range(3))
+    return f"""
+    units(field, u, p) AS ({_sql_powers()}),
+    raw AS ({read}),
+    cut AS (SELECT *, regexp_extract(u, '{number}', 1) AS digits FROM raw),
+    num AS (SELECT delivery_id, source, d, field, c, try_cast(replace(digits, ',', '') AS DOUBLE) AS n, substr(u, length(digits) + 1) AS b FROM cut WHERE digits <> ''),
+    told AS (SELECT n.delivery_id, n.field, arg_max(u.p, coalesce(f.valid_from, DATE '0001-01-01')) AS p FROM num n JOIN feed_units f ON f.source = n.source AND f.field = n.field AND n.d >= coalesce(f.valid_from, DATE '0001-01-01') AND n.d < coalesce(f.valid_to, DATE '9999-12-31')
+        JOIN units u ON u.field = f.field AND u.u = lower(regexp_replace(f.unit, '\\s+', '', 'g')) GROUP BY ALL),
+    st AS (SELECT n.*, CASE WHEN b <> '' THEN x.p ELSE coalesce(y.p, t.p) END AS p FROM num n LEFT JOIN units x ON x.field = n.field AND x.u = n.b LEFT JOIN units y ON y.field = n.field AND y.u = n.c AND n.c <> '' LEFT JOIN told t ON t.delivery_id = n.delivery_id AND t.field = n.field
+        WHERE n.b = '' OR x.p IS NOT NULL),
+    fl AS (SELECT {SQL_SYMBOL.format('symbol')} AS symbol, max(float_shares) AS float_shares FROM instruments WHERE symbol IS NOT NULL GROUP BY 1),
+    w AS (SELECT s.delivery_id, s.source, {SQL_SYMBOL.format('s.symbol')} AS symbol, s.date, CASE WHEN s.close::VARCHAR <> 'nan' THEN s.close END AS close, v.* EXCLUDE (delivery_id) FROM source_bars s JOIN (SELECT delivery_id, {wide} FROM st GROUP BY 1) v USING (delivery_id)),
+    lk AS (SELECT DISTINCT symbol, date, m0, m1, m2 FROM (SELECT symbol, date, {means} FROM w GROUP BY symbol, date, source)),
+    best AS (SELECT delivery_id, arg_min({{'c0': c0, 'c1': c1, 'c2': c2}}, {{'a': round(({own}) * 2), 'b': {linked}}}) AS c
+        FROM (SELECT * FROM w WHERE {' OR '.join(f'(n{i} IS NOT NULL AND p{i} IS NULL)' for i in range(3))}) w LEFT JOIN lk USING (symbol, date) LEFT JOIN fl USING (symbol) CROSS JOIN {sets} WHERE {open_} GROUP BY 1),
+    p AS ({' UNION ALL '.join(f"SELECT delivery_id, '{f}' AS field, n{i} AS n, coalesce(p{i}, b.c.c{i})::BIGINT AS power, p{i} IS NULL AS inferred FROM w LEFT JOIN best b USING (delivery_id) WHERE n{i} IS NOT NULL" for i, f in enumerate(FIGURES))})"""
+
+
 _COPIES = f"""
     b AS (SELECT DISTINCT symbol, date::DATE AS d, {SQL_VALUE.format('adj_factor')} AS f, {SQL_VALUE.format('pre_close')} AS p FROM daily_bars),
     x AS (SELECT DISTINCT {SQL_SYMBOL.format('symbol')} AS symbol, date AS d, {SQL_VALUE.format('adj_factor')} AS f, {SQL_VALUE.format('pre_close')} AS p FROM factor_xdxr),
@@ -181,6 +232,8 @@ SQL = {
         UNION ALL SELECT symbol, strftime(d, '%Y-%m-%d'), 'only_right', NULL, NULL, NULL, 1 FROM m WHERE nob
         UNION ALL SELECT symbol, strftime(d, '%Y-%m-%d'), 'value', 'adj_factor', bf, xf, 1 FROM m WHERE NOT nob AND NOT nox AND {SQL_DIFFER.format('bf', 'xf')}
         UNION ALL SELECT symbol, strftime(d, '%Y-%m-%d'), 'value', 'pre_close', bp, xp, 1 FROM m WHERE NOT nob AND NOT nox AND {SQL_DIFFER.format('bp', 'xp')}""",
+    "p2_found": f"WITH {_sql_units()} SELECT delivery_id, field, power FROM p WHERE power <> 0",
+    "p2_values": f"WITH {_sql_units()} SELECT s.delivery_id, s.source, " + ", ".join(f"round(max(p.n * pow(10.0, p.power)) FILTER (field = '{f}'), 6) AS {f}" for f in FIGURES) + ", concat_ws(',', " + ", ".join(f"max(CASE WHEN p.inferred AND field = '{f}' THEN field END)" for f in FIGURES) + ") AS inferred FROM source_bars s LEFT JOIN p USING (delivery_id) GROUP BY 1, 2",
     "p3_found": f"""WITH {_GRID}
         SELECT g.symbol, strftime(g.d, '%Y-%m-%d') AS date FROM grid g ANTI JOIN bars b ON g.symbol = b.symbol AND g.d = b.d""",
     "p3_grid": f"""WITH {_GRID},

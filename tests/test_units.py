@@ -1,10 +1,11 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.functions.units import number_and_unit, unit_power
-from barloom.operators.units import snap_graph
+from barloom.functions.units import number_and_unit, plain_number, unit_power
+from barloom.operators.units import edges, scale_and_offset, snap_graph
 from barloom.plans.problems import BarUnits
 from tests.conftest import rows
 
@@ -24,11 +25,40 @@ def test_graph_reaches_nodes_behind_nodes():
     powers = {"v": {-2, 0, 2}}
     h = [("b", False, "a", True, "v", 2.0, 100), ("c", False, "b", False, "v", -2.0, 50), ("d", False, "a", True, "v", 0.9, 30), ("b", False, "a", True, "v", 0.02, 1)]
     found = snap_graph(h, powers)
-    assert found["b", "v"] == {-2: pytest.approx(100 / 101)}
-    assert set(found["c", "v"]) == {0}
+    assert found["b", "v"] == {-2: 100, 0: 1}
+    assert found["c", "v"] == {0: pytest.approx(50 * 100 / 101), 2: pytest.approx(50 / 101)}
     assert ("d", "v") not in found
 
 
+def test_units_are_composed_of_a_multiple_and_a_base(spark):
+    texts = ["十万股", "10 k shares", "百萬元", "100mn CNY", "billion yuan", "千手", "百亿", "hundred", "万", "k", "万千股", "千千股", "股万"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [(r.v, r.a) for r in df.select("i", unit_power("volume", "t").alias("v"), unit_power("amount", "t").alias("a")).orderBy("i").collect()]
+    assert got == [(3, None), (2, None), (None, 6), (None, 8), (None, 9), (3, None), (None, 10), (None, 2), (None, 4), (None, 3), (None, None), (None, None), (None, None)]
+
+
+def test_plain_numbers_are_read_as_all_are(spark):
+    texts = ["12", " 1.5", "-3e4", "+7.", "1e-3", "NaN", "inf", "1d", "0x1p3", "1,234", "", None, "1 2", "１２", "5\t", ".5"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("t", plain_number("t").alias("p"), number_and_unit("t")[0].alias("n"), number_and_unit("t")[1].alias("u")).collect()
+    assert [r.p for r in got] == [12.0, 1.5, -30000.0, None, 0.001, *[None] * 10, 0.5]
+    assert all(r.p == r.n and r.u == "" for r in got if r.p is not None and r.t != ".5")
+
+
+def test_scale_and_offset_by_medians():
+    rng = np.random.default_rng(1)
+    b = 10 ** rng.uniform(2, 4, 4000)
+    for scale, offset in ((100.0, 0.0), (1.0, 300.0), (0.01, -80.0), (10.0, 20.0)):
+        a = scale * (b + offset)
+        a[::10] *= 7  # a tenth is wrong
+        hist = np.round((np.log10(np.maximum(a, 1e-12)) - np.log10(b)) * 200) / 200
+        s, o = scale_and_offset((np.floor(np.log10(b) * 4) + 0.5) / 4, hist, np.ones(4000))
+        assert np.log10(s) == pytest.approx(np.log10(scale), abs=0.05) and o == pytest.approx(offset if abs(offset) > 20 else 0.0, rel=0.2)
+    links = [("x", False, "y", True, "v", -2.0, 4, 30), ("x", False, "y", True, "v", -2.0, 6, 30), ("x", False, "y", True, "v", 0.0, 4, 5)]
+    found, offsets = edges(links)
+    assert sorted(e[5:] for e in found) == [(-2.0, 60), (0.0, 5)] and offsets == {}
+
+
 UNITS = [("s", "volume", "lot", None, dt.date(2022, 7, 1)), ("s", "volume", "share", dt.date(2022, 7, 1), None), ("s", "amount", "yuan", None, None), ("s", "turnover_rate", "percent", None, None), ("k", "amount", "yuan", None, None)]
 
 
@@ -98,3 +128,34 @@ def test_nulls_anywhere_repeats_and_other_columns(spark):
 
 def test_empty(spark):
     assert resolve(spark, []) == {}
+
+
+def test_each_evidence_decides_what_the_others_leave_open(spark):
+    """Figures of the row, then linked values, then the uses of the source: without one of them, its rows change."""
+    data = [row(i, "s", "10000", "100000", "1", day=i) for i in range(1, 29)]
+    data += [row(100 + i, "k", "10000" if i % 4 else "100", None, None, day=i) for i in range(1, 25)]  # linked only
+    data += [row(200, "k", "777", None, None, sym="2"), row(201, "k", "10000", "10000000", None, sym="2", day=2)]  # nothing but the source's uses; its own figures
+    whole = resolve(spark, data)
+    assert all(whole[100 + i][0] == (-2 if i % 4 else 0) for i in range(1, 25))
+    assert whole[200][0] == -2 and whole[201][0] == 0
+    lone = resolve(spark, [r for r in data if r[0] > 100])  # no links, no uses: only the figures still decide
+    assert lone[201][0] == 0
+    units = BarUnits(figures=False)
+    units.entity = ["sym", "date"]
+    d = spark.createDataFrame(data, "delivery_id long, source string, sym string, date date, close double, volume string, volume_unit string, amount string, amount_unit string, turnover_rate string, turnover_unit string, fetched_at timestamp_ntz")
+    known = spark.createDataFrame(UNITS, "source string, field string, unit string, valid_from date, valid_to date")
+    linked = {r.delivery_id: r for r in units.harmonize(d, known, keep=["close"]).collect()}
+    assert all(linked[100 + i].p_volume == (-2 if i % 4 else 0) and linked[100 + i].l_volume for i in range(1, 25))
+    assert linked[201].p_volume == -2 and not linked[201].l_volume  # the graph alone takes the usual conversion
+
+
+def test_an_offset_of_a_source_is_taken_off(spark):
+    value = [round(500 * 1.04**i) for i in range(75)]
+    data = [row(1000 + i, "s", str(100 * v), "100000", None, day=i % 28 + 1, sym=str(i // 28)) for i, v in enumerate(value)]
+    data += [row(2000 + i, "k", str(v + 400), None, None, day=i % 28 + 1, sym=str(i // 28)) for i, v in enumerate(value)]
+    units = BarUnits(figures=False)
+    units.entity = ["sym", "date"]
+    d = spark.createDataFrame(data, "delivery_id long, source string, sym string, date date, close double, volume string, volume_unit string, amount string, amount_unit string, turnover_rate string, turnover_unit string, fetched_at timestamp_ntz")
+    known = spark.createDataFrame(UNITS, "source string, field string, unit string, valid_from date, valid_to date")
+    got = {r.delivery_id: r.v_volume for r in units.harmonize(d, known, keep=["close"]).collect()}
+    assert all(got[2000 + i] == pytest.approx(v, rel=0.25) and got[1000 + i] == v for i, v in enumerate(value))

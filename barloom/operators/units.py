@@ -12,11 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from barloom.functions.clean import quoted
-from barloom.functions.units import CONVERSIONS, number_and_unit, plain_number, unit_power
+from barloom.functions.units import CONVERSIONS, plain_number, read_figure, unit_power
 from barloom.session import stage_table
 
 #: Bins per power of ten in the histograms of pairwise ratios, and classes of size per power of ten in which they are kept apart.
-BINS, CLASSES = 20, 2
+BINS, CLASSES = 20, 4
 #: The scale of a link snaps to a conversion if it is within so many powers of ten of it.
 SNAP = 0.2
 #: An offset counts if it is more than this share of the usual size of the values.
@@ -136,20 +136,16 @@ class UnitHarmonizer:
         cols = {c: quoted(c) for c in dict.fromkeys([self.row_id, self.source, *self.entity, *keep])}
         names = list(cols)
         picked = rows.select(*[v.alias(k) for k, v in cols.items()], quoted(self.delivered).cast("date").alias("__on"), *[x for f, (raw, unit) in self.fields.items() for x in (quoted(raw).alias(f"__raw_{f}"), quoted(unit).alias(f"__unit_{f}"))])
-        # most numbers are plain; only the others are taken apart
-        plain = picked.select("*", *[plain_number(f"__raw_{f}").alias(f"__p_{f}") for f in self.fields])
-        other = plain.select(*names, "__on", *[x for f in self.fields for x in (F.col(f"__unit_{f}"), F.col(f"__p_{f}"), F.when(F.col(f"__p_{f}").isNull(), F.struct(*[c.alias(k) for c, k in zip(number_and_unit(f"__raw_{f}"), "nt")])).alias(f"__x_{f}"))])
-        parsed = other.select(*names, "__on", *[x for f in self.fields for x in (F.coalesce(f"__p_{f}", f"__x_{f}.n").alias(f"__n_{f}"), F.when(F.col(f"__p_{f}").isNotNull(), "").otherwise(F.col(f"__x_{f}.t")).alias(f"__t_{f}"), F.col(f"__unit_{f}"))])
-        parsed = parsed.join(spans, F.col(self.source) == F.col("__us"), "left")
+        # most numbers are plain and stay in the JVM; only the others, and units where there are any, are taken apart by workers
+        plain = picked.select(*names, "__on", *[x for f in self.fields for x in (F.col(f"__raw_{f}"), F.col(f"__unit_{f}"), plain_number(f"__raw_{f}").alias(f"__p_{f}"))])
+        other = plain.select(*names, "__on", *[x for f in self.fields for x in (F.col(f"__p_{f}"), read_figure(f, F.when(F.col(f"__p_{f}").isNull(), F.col(f"__raw_{f}")), F.when(F.trim(f"__unit_{f}") != "", F.col(f"__unit_{f}"))).alias(f"__x_{f}"))])
+        parsed = other.join(spans, F.col(self.source) == F.col("__us"), "left")
         out = []
         for f in self.fields:
-            text, number = F.col(f"__t_{f}"), F.col(f"__n_{f}")
-            beside = F.when(text != "", unit_power(f, text))
-            column = F.when(F.trim(f"__unit_{f}") != "", unit_power(f, f"__unit_{f}"))
+            number, power = F.coalesce(f"__p_{f}", f"__x_{f}.n"), F.col(f"__x_{f}.p")
             # of the spans that hold on the day, the one that began last
             told = F.try_element_at(F.filter(f"__spans_{f}", lambda u: (F.col("__on") >= u.a) & (F.col("__on") < u.z)), F.lit(-1)).p
-            readable = ((text == "") | beside.isNotNull()) & number.isNotNull()
-            out += [F.when(readable, number).alias(f"n_{f}"), F.when(readable, F.coalesce(beside, column, told)).alias(f"p_{f}")]
+            out += [number.alias(f"n_{f}"), F.when(number.isNotNull(), F.coalesce(power, told)).alias(f"p_{f}")]
         return parsed.select(*names, *out)
 
     def log(self, f: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -10,8 +12,12 @@ from barloom.functions.clean import quoted
 from barloom.llm.tokens import VOCABULARY, token_count
 from barloom.session import stage_table
 
-#: Items a shard holds on average; each shard is packed alone.
-SHARD_ITEMS = 50_000
+#: Shards by the leading bits of a hash of the item, the same whatever the number of items.
+SHARDS = 1024
+#: A container of a shard is done if at most this share of it is left; the items of the others are packed again, all shards together.
+SLACK = 1 / 64
+#: Copies of an item id in one step of making them rows of their own.
+STEP = 1 << 14
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -47,32 +53,70 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def pack(items: DataFrame, capacity: int, item: str, size: str, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def pack(items: DataFrame, capacity: int, item: str, size: str, shards: int = SHARDS) -> DataFrame:
     """``bin_id``, item, ``piece``, ``from_unit``, ``units``, ``at``: where each piece of each item lies.
 
-    Only an item larger than the capacity is split: into full containers and one rest, which is packed like any item. Items of size null,
-    zero or less take no room and are left out. Shards are cut by a hash of the item, so that their number grows with the data and a task
-    only sees sizes; within a shard, items come in hashed order, by the item, by a hash again, so repeats of a size do not cluster. Equal
-    input gives equal bins (bin ids hold the shard in their upper half). Items with the same id are packed one by one. Empty input gives no rows.
+    Only an item larger than the capacity is split: into full containers and one rest, which is packed like any item. Full pieces are
+    containers by themselves. The others go to shards by a hash of the item, within a shard in hashed order, so that repeats of a size do
+    not cluster; a task only sees sizes. The number of shards is fixed, so a row more or less changes its own shard only. What a shard leaves in
+    containers with more than SLACK of their room unused, a few per gap at most, is packed again by the same rule in one last shard, which
+    is thereby bounded by the capacity and the number of shards, not by the data.
+
+    Items of size null, zero or less take no room and are left out, as are null items. Items with the same id and size are counted first and
+    packed one by one, spread over all shards. Equal input gives equal containers; full pieces have containers
+    with ids below 0, in no fixed order. Empty input gives no rows. Other columns are ignored.
     """
     known = items.select(quoted(item).alias("__item"), quoted(size).cast("long").alias("__size")).where("__item is not null and __size > 0")
-    n = known.count()
-    shards = max(1, -(-n // shard_items))
-    full = F.floor(F.col("__size") / F.lit(capacity))
-    pieces = known.select("__item", F.explode(F.concat(
-        F.when(full > 0, F.transform(F.sequence(F.lit(0).cast("long"), full - 1), lambda k: F.struct(k.alias("piece"), (k * capacity).alias("start"), F.lit(capacity).cast("long").alias("units")))).otherwise(F.array().cast("array<struct<piece:bigint,start:bigint,units:bigint>>")),
-        F.when(F.col("__size") % capacity > 0, F.array(F.struct(full.alias("piece"), (full * capacity).alias("start"), (F.col("__size") % capacity).alias("units")))).otherwise(F.array().cast("array<struct<piece:bigint,start:bigint,units:bigint>>")),
-    )).alias("x")).select("__item", "x.*").withColumn("__shard", F.pmod(F.xxhash64("__item", F.lit(1)), F.lit(shards)).cast("long")).withColumn("__order", F.xxhash64("__item", "piece"))
-    kind = dict(pieces.dtypes)["__item"]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__order", "__item", "piece"], kind="stable")
-        bins = sum_of_squares(pdf["units"].to_numpy(), capacity)
-        at = pdf["units"].groupby(bins).cumsum().to_numpy() - pdf["units"].to_numpy()
-        return pd.DataFrame({"bin_id": (int(key[0]) << 32) + bins, "__item": pdf["__item"].to_numpy(), "piece": pdf["piece"].to_numpy(), "from_unit": pdf["start"].to_numpy(), "units": pdf["units"].to_numpy(), "at": at})
-
-    packed = pieces.groupBy("__shard").applyInPandas(run, f"bin_id long, __item {kind}, piece long, from_unit long, units long, at long")
-    return packed.withColumnRenamed("__item", item)
+    kind = dict(known.dtypes)["__item"]
+    same = known.groupBy("__item", "__size").agg(F.count(F.lit(1)).alias("__n"))
+    steps = same.select("__item", "__size", "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / STEP))).alias("__step"))
+    each = steps.select("__item", "__size", F.explode(F.sequence(F.col("__step") * STEP, F.least((F.col("__step") + 1) * STEP, "__n") - 1)).alias("__copy"))
+    full, left = F.floor(F.col("__size") / F.lit(capacity)), F.col("__size") % capacity
+    mixed = F.xxhash64("__item", "__size", "__copy")
+    shared = each.where(left > 0).select("__item", full.alias("piece"), (full * capacity).alias("start"), left.alias("units"), F.pmod(F.shiftrightunsigned(mixed, 32), F.lit(shards)).cast("int").alias("__shard"), mixed.alias("__order"), "__copy")
+    whole = each.where(full > 0).select("__item", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece"))
+    fields = ["bin_id", "__item", "piece", "from_unit", "units", "at"]
+    whole = whole.select((-1 - F.monotonically_increasing_id()).alias("bin_id"), "__item", "piece", (F.col("piece") * capacity).alias("from_unit"), F.lit(capacity).cast("long").alias("units"), F.lit(0).cast("long").alias("at"))
+
+    def placed(part: pd.DataFrame, last: bool) -> pd.DataFrame:
+        """One shard packed; ``done`` marks what stays where it is."""
+        bins = sum_of_squares(part["units"].to_numpy(), capacity)
+        used = np.bincount(bins, weights=part["units"].to_numpy())
+        at = part["units"].groupby(bins).cumsum().to_numpy() - part["units"].to_numpy()
+        shard = shards if last else int(part["__shard"].iloc[0])
+        return part.assign(bin_id=(shard << 32) + bins, at=at, done=last | (used[bins] >= capacity * (1 - SLACK)))
+
+    def by_shard(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by shard; a shard is packed once the next one begins."""
+        rest: list[pd.DataFrame] = []
+        for part in parts:
+            if not len(part):
+                continue
+            edge = part["__shard"].iloc[-1]
+            if rest and rest[-1]["__shard"].iloc[-1] == edge and part["__shard"].iloc[0] == edge:
+                rest.append(part)
+                continue
+            every = pd.concat([*rest, part], ignore_index=True)
+            ready = every[every["__shard"] != edge]
+            if len(ready):
+                yield pd.concat([placed(g, False) for _, g in ready.groupby("__shard", sort=False)])
+            rest = [every[every["__shard"] == edge]]
+        if rest:
+            yield placed(pd.concat(rest, ignore_index=True), False)
+
+    rows = f"__item {kind}, piece long, start long, units long, __shard int, __order long, __copy long"
+    sorted_ = shared.repartition("__shard").sortWithinPartitions("__shard", "__order", "__item", "__copy")
+    first = stage_table(sorted_.mapInPandas(by_shard, rows + ", bin_id long, at long, done boolean"), "packed")
+    again = first.where("not done").drop("bin_id", "at", "done").coalesce(1).sortWithinPartitions("__order", "__item", "__copy")
+
+    def together(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = [p for p in parts if len(p)]
+        if every:
+            yield placed(pd.concat(every, ignore_index=True), True)
+
+    second = again.mapInPandas(together, rows + ", bin_id long, at long, done boolean")
+    both = first.where("done").unionByName(second).withColumnRenamed("start", "from_unit").select(*fields)
+    return both.unionByName(whole).withColumnRenamed("__item", item)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, row_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

@@ -70,16 +70,35 @@ def check(placed, items, capacity):
     return len(spans)
 
 
-@pytest.mark.parametrize("shard", [10, 50_000])
-def test_every_item_whole_and_once(spark, shard):
+@pytest.mark.parametrize("shards", [1, 7, 1024])
+def test_every_item_whole_and_once(spark, shards):
     rng = random.Random(2)
     items = [(i, rng.choice([1, 3, 99, 100, 101, 250, 1000, rng.randint(1, 100)])) for i in range(300)] + [(1000, 0), (1001, None), (None, 5), (1002, -3)]
     df = spark.createDataFrame(items, "item long, n long").selectExpr("*", "7 as bin_id")
-    placed = pack(df, 100, "item", "n", shard).collect()
+    placed = pack(df, 100, "item", "n", shards).collect()
     bins = check(placed, items, 100)
-    if shard > 1000:
-        assert bins <= 1.02 * sum(n for i, n in items if i is not None and n and n > 0) / 100 + 3
-    assert sorted(map(tuple, placed)) == sorted(map(tuple, pack(df, 100, "item", "n", shard).collect()))
+    assert bins <= 1.02 * sum(n for i, n in items if i is not None and n and n > 0) / 100 + 3
+    again = pack(df, 100, "item", "n", shards).collect()
+    assert sorted(tuple(r)[1:] for r in placed) == sorted(tuple(r)[1:] for r in again)
+
+
+def test_a_row_more_changes_its_own_shard_and_the_last_one(spark):
+    rng = random.Random(4)
+    items = [(i, rng.randint(1, 100)) for i in range(4000)]
+    a, b = ({(r["item"], r.bin_id, r["at"]) for r in pack(spark.createDataFrame(x, "item long, n long"), 100, "item", "n", 8).collect()} for x in (items, [*items, (5000, 50)]))
+    done = {x for x in a if x[1] >> 32 < 8}
+    assert len(done) > 2500 and len({x[1] >> 32 for x in done - b}) <= 1
+
+
+def test_one_id_in_a_third_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr("barloom.llm.packing.STEP", 64)
+    items = [(1, 37)] * 500 + [(i, 11 + i % 60) for i in range(2, 1000)]
+    placed = pack(spark.createDataFrame(items, "item long, n long"), 100, "item", "n", 16).collect()
+    assert sum(r["item"] == 1 for r in placed) == 500 and sum(r.units for r in placed) == sum(n for _, n in items)
+    used = {}
+    for r in placed:
+        used[r.bin_id] = used.get(r.bin_id, 0) + r.units
+    assert max(used.values()) <= 100 and len(used) <= 1.03 * (sum_of_squares(np.random.default_rng(1).permutation([n for _, n in items]), 100).max() + 1)
 
 
 def test_empty(spark):

@@ -13,12 +13,14 @@ from barloom.functions.clean import quoted
 from barloom.llm.tokens import VOCABULARY, token_count
 from barloom.session import stage_table
 
-#: Buckets of the Pareto rank per source of a mix; only the bucket in which a quota ends is sorted.
-BUCKETS = 4096
+#: Bits of the rank that a pass over the sizes looks at, and all of its bits.
+STEP_BITS, RANK_BITS = 12, 60
+#: The bucket in which a quota ends is looked into again while it holds more documents than this; what is sorted in the end is that bucket.
+EDGE = 4096
+#: Documents after the end of a quota that may fill it up, where the bucket has so many.
+FOLLOWERS = 256
 #: Weight classes per factor of two, in which inclusion odds are solved for.
 PER_OCTAVE = 8
-#: Documents behind the bucket in which a rest ends that may fill it up.
-FOLLOWERS = 256
 
 
 def plan_mix(targets: list[tuple[str, str, float, int]], sizes: dict[str, float], total: float | None = None) -> list[dict]:
@@ -68,21 +70,42 @@ def fill_gap(sizes: np.ndarray, gap: float) -> np.ndarray:
     return taken
 
 
+def next_buckets(sums: list[tuple[int, int, int]], rest: float) -> tuple[int, int, int, int] | None:
+    """(first bucket, last bucket, tokens before, documents within) of where the rest ends, from ascending (bucket, tokens, documents).
+
+    The last bucket is the first one by which FOLLOWERS documents follow, unless that makes more than EDGE documents. None if the rest isn't reached.
+    """
+    before = 0
+    for i, (bucket, tokens, documents) in enumerate(sums):
+        if before + tokens >= rest:
+            last, within = bucket, documents
+            for more, _, n in sums[i + 1:]:
+                if within - documents >= FOLLOWERS or within + n > EDGE:
+                    break
+                last, within = more, within + n
+            return bucket, last, before, within
+        before += tokens
+    return None
+
+
 def mix_documents(docs: DataFrame, targets: DataFrame, *, row_id: str = "doc_id", source: str = "source", text: str = "text", total: float | None = None, weight: str = "sqrt(n_tokens)", seed: int = 11, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """(``mix_name``, id, ``source``, ``n_tokens``, ``copies``) of the documents in each mix, and a report of the shares reached.
 
     A source's quota is its share of the mix. Every document first gets the whole copies its source needs of all; the rest of the quota is
     a Pareto sample: documents are ranked by (u / (1 - u)) / (p / (1 - p)), u a hash of seed, mix and id, p the inclusion probability
-    proportional to ``weight`` (SQL over n_tokens), and taken in that order; p = 1 is certain. The rank is bucketed, buckets are summed, and
-    only the bucket in which the rest is reached, with the next FOLLOWERS documents, is sorted: there, documents that no longer fit are
-    passed over and later ones fill up, so that long documents do not spoil the shares. No source is gathered.
+    proportional to ``weight`` (SQL over n_tokens), and taken in that order; documents of p = 1 are certain and come first, by u. Sizes are
+    summed by the leading bits of the rank; while the bucket in which the rest ends holds more than EDGE documents, a further pass looks at
+    its next bits. Only that bucket, with some followers, is sorted: there, documents that no longer fit are passed over and later ones fill
+    up, so that one long document does not spoil the share. This departs from the Pareto order for documents of that bucket alone. No source
+    is gathered, and each pass reads sizes only.
 
     A source without documents, or with texts of no tokens only, reaches a share of 0 and does not limit the mix; the others share what is
-    there. No document is used more than max_repeats times; max_repeats and shares of null or less count as 0. A document without source,
+    there. No document is used more than max_repeats times; max_repeats and shares of null or less count as 0. Rows of the same id and source are one document, of its greatest size; one without source,
     id or tokens is in no mix; repeated targets of a source in a mix use the greatest of each number. Empty tables give empty results.
     """
     sized = docs.select(quoted(row_id).alias("__id"), quoted(source).alias("__source"), token_count(quoted(text), vocabulary).alias("n_tokens"))
-    sized = stage_table(sized.where("__id is not null and __source is not null and n_tokens > 0"), "mix-sizes")
+    sized = sized.where("__id is not null and __source is not null and n_tokens > 0").groupBy("__id", "__source").agg(F.max("n_tokens").alias("n_tokens"))
+    sized = stage_table(sized, "mix-sizes")
     weighted = sized.withColumn("__w", F.greatest(F.expr(weight).cast("double"), F.lit(1e-12)))
     # targets and sources of targets are configuration: a row per mix and source
     goal = targets.select("mix_name", F.col("source").alias("s"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("most")).where("mix_name is not null and s is not null")
@@ -102,25 +125,44 @@ def mix_documents(docs: DataFrame, targets: DataFrame, *, row_id: str = "doc_id"
     each = weighted.join(small, F.col("__source") == F.col("s"))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "mix_name", "__id"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     p = F.least(F.col("scale") * F.col("__w"), F.lit(1.0))
-    odds = F.when(p >= 1, 0.0).otherwise(u / (1 - u) * (1 - p) / p)
-    ranked = each.withColumn("__q", F.when(F.col("rest") > 0, odds)).withColumn("__score", F.col("__q") / (1 + F.col("__q"))).withColumn("__bucket", F.floor(F.col("__score") * BUCKETS).cast("int"))
-    # where each rest ends, and the bucket by which so many more documents follow: a row per mix and source
-    sums = ranked.where("rest > 0").groupBy("mix_name", "s", "__bucket").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("k"), F.max("rest").alias("rest"))
-    line = Window.partitionBy("mix_name", "s").orderBy("__bucket")
-    sums = sums.select("*", F.sum("t").over(line).alias("upto"), F.sum("k").over(line).alias("kupto"))
-    ends = sums.where("upto >= rest").groupBy("mix_name", "s").agg(F.min_by(F.struct("__bucket", (F.col("upto") - F.col("t")).alias("before"), "kupto"), "__bucket").alias("e"))
-    ends = ends.select(F.col("mix_name").alias("__m"), F.col("s").alias("__s"), "e.*").withColumnsRenamed({"__bucket": "__end", "kupto": "__k"})
-    follow = sums.join(ends, (F.col("mix_name") == F.col("__m")) & (F.col("s") == F.col("__s"))).where(F.col("__bucket") >= F.col("__end"))
-    found = follow.groupBy("__m", "__s").agg(F.first("__end").alias("e"), F.first("before").alias("before"), F.min(F.when(F.col("kupto") >= F.col("__k") + FOLLOWERS, F.col("__bucket"))).alias("upto")).collect()
-    cuts = spark.createDataFrame([(r["__m"], r["__s"], r.e, BUCKETS if r.upto is None else r.upto, float(r.before)) for r in found], "__m string, __s string, __end int, __upto int, __before double")
-    cut = ranked.join(cuts, (F.col("mix_name") == F.col("__m")) & (F.col("s") == F.col("__s")), "left")
-    at_edge = F.coalesce((F.col("__bucket") >= F.col("__end")) & (F.col("__bucket") <= F.col("__upto")), F.lit(False))
+    odds = u / (1 - u) * (1 - p) / p
+    # certain documents fill the lower half of the ranks, the others the upper half by odds / (1 + odds)
+    rank = F.floor(F.when(p >= 1, u / 2).otherwise(0.5 + odds / (1 + odds) / 2) * float(1 << RANK_BITS)).cast("long")
+    ranked = each.withColumn("__rank", F.when(F.col("rest") > 0, F.least(rank, F.lit((1 << RANK_BITS) - 1))))
+
+    def bounds(of: dict[tuple[str, str], tuple[int, int, float]]) -> DataFrame:
+        """(mix, source, first rank, last rank, tokens before) as a small table."""
+        return spark.createDataFrame([(m, s, *x) for (m, s), x in of.items()], "__m string, __s string, __from long, __to long, __before double")
+
+    ends: dict[tuple[str, str], tuple[int, int, float]] = {}
+    open_ = {(p["mix"], p["source"]): (0, (1 << RANK_BITS) - 1, 0.0) for p in plan if p["rest"] > 0}
+    rests = {(p["mix"], p["source"]): p["rest"] for p in plan}
+    shift = RANK_BITS
+    while open_:
+        shift -= STEP_BITS
+        inside = ranked if shift + STEP_BITS == RANK_BITS else ranked.join(bounds(open_), (F.col("mix_name") == F.col("__m")) & (F.col("s") == F.col("__s"))).where("__rank between __from and __to")
+        found: dict[tuple[str, str], list] = defaultdict(list)
+        for r in inside.where("__rank is not null").groupBy("mix_name", "s", F.shiftright("__rank", shift).alias("b")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("k")).collect():
+            found[r.mix_name, r.s].append((r.b, r.t, r.k))
+        going = {}
+        for key, (_, _, before) in open_.items():
+            at = next_buckets(sorted(found[key]), rests[key] - before)
+            if at is None:
+                continue  # everything goes in
+            first, last, more, within = at
+            if within > EDGE and shift > 0:
+                going[key] = (first << shift, ((first + 1) << shift) - 1, before + more)
+            else:
+                ends[key] = (first << shift, ((last + 1) << shift) - 1, before + more)
+        open_ = going
+    cut = ranked.join(bounds(ends), (F.col("mix_name") == F.col("__m")) & (F.col("s") == F.col("__s")), "left")
+    at_edge = F.coalesce(F.col("__rank").between(F.col("__from"), F.col("__to")), F.lit(False))
     kept = ["mix_name", "__id", "s", "n_tokens", "whole"]
-    inside = cut.where(~at_edge).select(*kept, F.when(F.col("__bucket") < F.coalesce("__end", F.lit(BUCKETS)), 1).otherwise(0).alias("more"))
-    edge = cut.where(at_edge).select(*kept, "__score", (F.col("rest") - F.col("__before")).alias("__gap"))
+    inside = cut.where(~at_edge).select(*kept, F.when(F.col("__rank").isNotNull() & (F.col("__from").isNull() | (F.col("__rank") < F.col("__from"))), 1).otherwise(0).alias("more"))
+    edge = cut.where(at_edge).select(*kept, "__rank", (F.col("rest") - F.col("__before")).alias("__gap"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__score", "__id"], kind="stable")
+        pdf = pdf.sort_values(["__rank", "__id"], kind="stable")
         return pdf[kept].assign(more=fill_gap(pdf["n_tokens"].to_numpy(), float(pdf["__gap"].iloc[0])))
 
     edge = edge.groupBy("mix_name", "s").applyInPandas(fill, inside.select(*kept, F.lit(0).alias("more")).schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.functions import clean
-from barloom.llm.canonical import canonical_documents, lookalike_pairs
+from barloom.llm.canonical import canonical_documents, lookalike_classes, lookalike_pairs
 from barloom.llm.mixing import mix_documents
 from barloom.llm.packing import pack_documents
 from barloom.llm.survivors import Bundle, Dependency, survivors
@@ -66,7 +66,11 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return lookalike_pairs(table(spark, sf, "documents"))
+    return lookalike_pairs(lookalike_classes(table(spark, sf, "documents")))
+
+
+def p10_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike_classes(table(spark, sf, "documents"))
 
 
 def p10_canonical(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +78,7 @@ def p10_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", "canonical_text", (F.col("canonical_text") != F.col("text")).alias("was_changed"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_records, p8_packing, p8_use, p9_mix, p9_shares, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_records, p8_packing, p8_use, p9_mix, p9_shares, p10_found, p10_classes, p10_canonical)}
 
 _VERSIONS = f"""v AS (SELECT version_id, {SQL_SYMBOL.format('symbol')} AS symbol, date::DATE AS d, source, coalesce(-trust, -2147483648) AS t, updated_at, {SQL_VALUE.format('pre_close')} AS pre_close, {SQL_VALUE.format('adj_factor')} AS adj_factor
     FROM bar_versions LEFT JOIN (SELECT source, min(trust) AS trust FROM feeds GROUP BY 1) USING (source)),
@@ -88,4 +92,18 @@ SQL = {
         UNION ALL SELECT 'bar_versions', 'adj_factor', arg_max(version_id, (t, updated_at, version_id)) FROM v JOIN g USING (symbol, d) WHERE adj_factor > 0 GROUP BY symbol, d
         UNION ALL SELECT 'yjbb', 'ann_date', arg_max(report_id, (a, report_id)) FROM y JOIN h USING (code, period) WHERE a > period GROUP BY code, period
         UNION ALL SELECT 'yjbb', 'roe', arg_max(report_id, (a, report_id)) FROM y JOIN h USING (code, period) WHERE a > period AND roe IS NOT NULL GROUP BY code, period""",
+    "p7_records": f"""WITH v AS (SELECT version_id, {SQL_SYMBOL.format('symbol')} AS symbol, date::DATE AS d, source, coalesce(-trust, -2147483648) AS t, updated_at, {', '.join(SQL_VALUE.format(c) + ' AS ' + c for c in ('close', 'pre_close', 'adj_factor', 'turnover_rate', 'amount'))}
+            FROM bar_versions LEFT JOIN (SELECT source, min(trust) AS trust FROM feeds GROUP BY 1) USING (source)),
+        g AS (SELECT symbol, d, count(*) AS n_rows FROM v WHERE symbol IS NOT NULL AND d IS NOT NULL GROUP BY ALL),
+        c AS (SELECT b, symbol, d, source, updated_at, version_id, t FROM v, (VALUES (1), (2), (3)) x(b)
+            WHERE CASE b WHEN 1 THEN close > 0 AND amount > 0 WHEN 2 THEN pre_close > 0 ELSE adj_factor > 0 END),
+        e AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY b, symbol, d, source, updated_at ORDER BY t DESC NULLS LAST, version_id DESC) = 1),
+        o AS (SELECT b, symbol, d, source, updated_at, version_id, row_number() OVER (PARTITION BY b, symbol, d ORDER BY t DESC NULLS LAST, updated_at DESC NULLS LAST, version_id DESC) - 1 AS place FROM e),
+        n AS (SELECT symbol, d, count(*) AS n FROM o GROUP BY ALL),
+        a AS (SELECT * FROM o UNION ALL SELECT x.b, g.symbol, g.d, NULL, NULL, NULL, CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.b = x.b AND o.symbol = g.symbol AND o.d = g.d) THEN n.n ELSE 0 END FROM g LEFT JOIN n USING (symbol, d), (VALUES (1), (2), (3)) x(b)),
+        m AS (SELECT symbol, d, x.version_id AS i, y.version_id AS j, z.version_id AS k, row_number() OVER (PARTITION BY symbol, d ORDER BY x.place + y.place + z.place, x.place, y.place, z.place) AS rn
+            FROM a x JOIN a y USING (symbol, d) JOIN a z USING (symbol, d) WHERE x.b = 1 AND y.b = 2 AND z.b = 3
+            AND {' AND '.join(f"NOT coalesce({p}.source = {q}.source AND {p}.updated_at IS DISTINCT FROM {q}.updated_at, false)" for p, q in (('x', 'y'), ('x', 'z'), ('y', 'z')))})
+        SELECT m.symbol, strftime(m.d, '%Y-%m-%d') AS day, g.n_rows, x.close, x.amount, x.turnover_rate, i AS figures_row, y.pre_close, j AS basis_row, z.adj_factor, k AS factor_row
+        FROM m JOIN g USING (symbol, d) LEFT JOIN v x ON x.version_id = i LEFT JOIN v y ON y.version_id = j LEFT JOIN v z ON z.version_id = k WHERE rn = 1""",
 }

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from barloom.llm.mixing import fill_gap, inclusion_scale, mix_documents, plan_mix
+from barloom.llm.mixing import fill_gap, inclusion_scale, mix_documents, next_buckets, plan_mix
 
 
 def test_plan():
@@ -66,6 +66,29 @@ def test_heavier_documents_come_more_often(spark):
     assert abs(sum(r.n_tokens for r in rows) - 30_000) <= 160
 
 
+def test_where_a_rest_ends(monkeypatch):
+    assert next_buckets([(3, 10, 2), (5, 10, 2), (9, 10, 300), (11, 5, 7)], 15) == (5, 9, 10, 302)
+    assert next_buckets([(3, 10, 2), (5, 10, 5000), (9, 10, 300)], 15) == (5, 5, 10, 5000)
+    assert next_buckets([(3, 10, 2)], 11) is None and next_buckets([], 1) is None
+
+
+def test_looking_into_buckets_changes_nothing_but_the_filling(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "s", "word " * (5 + i * 7 % 50)) for i in range(1500)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("m", "s", 1.0, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    whole = {r.doc_id for r in mix_documents(docs, targets, total=20_000)[0].collect()}
+    for name, value in (("STEP_BITS", 3), ("EDGE", 8), ("FOLLOWERS", 2)):
+        monkeypatch.setattr(f"barloom.llm.mixing.{name}", value)
+    deep = {r.doc_id: r.n_tokens for r in mix_documents(docs, targets, total=20_000)[0].collect()}
+    assert len(whole ^ set(deep)) <= 8 and abs(sum(deep.values()) - 20_000) <= 60
+
+
+def test_repeated_rows_are_one_document_and_certain_ones_are_ranked_too(spark):
+    docs = spark.createDataFrame([(7, "s", "word " * 10)] * 300 + [(i, "s", "word " * 10) for i in range(100, 150)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("m", "s", 1.0, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    chosen = mix_documents(docs, targets, total=400, weight="1e6")[0].collect()
+    assert len({r.doc_id for r in chosen}) == len(chosen) and 300 <= sum(r.n_tokens for r in chosen) <= 410
+
+
 def test_empty(spark):
     targets = spark.createDataFrame([], "mix_name string, source string, target_share double, max_repeats int")
     chosen, report = mix_documents(corpus(spark, 5), targets)

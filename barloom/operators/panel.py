@@ -71,13 +71,14 @@ def trading_days(calendar: DataFrame) -> DataFrame:
 def shift_days(events: DataFrame, day: str, calendar: DataFrame, n: int) -> DataFrame:
     """``shifted``: the n-th trading day after (n > 0) or before (n < 0) ``day``, itself not counted; NULL beyond the calendar."""
     days = trading_days(calendar)
+    end = days.agg(F.max("date").alias("date"), F.max("ord").alias("ord")).first()
     bounds = days.select(F.col("date").alias("__from"), "ord", F.lead("date").over(Window.orderBy("date")).alias("__to"))
     # each trading day opens an interval that holds the calendar days up to the next one
-    filled = bounds.select("ord", "__from", F.explode(F.sequence("__from", F.date_sub(F.coalesce("__to", F.date_add("__from", 366)), 1))).alias("__day"))
+    filled = bounds.select("ord", "__from", F.explode(F.sequence("__from", F.date_sub(F.coalesce("__to", F.date_add("__from", 1)), 1))).alias("__day"))
     on = filled.select("__day", F.when((F.lit(n) < 0) & (F.col("__from") == F.col("__day")), F.col("ord") - 1).otherwise(F.col("ord")).alias("__at"))
     target = days.select(F.col("ord").alias("__o"), F.col("date").alias("shifted"))
     step = n if n > 0 else n + 1
-    return events.join(on, F.col(day) == F.col("__day"), "left").withColumn("__at", F.col("__at") + step).join(target, F.col("__at") == F.col("__o"), "left").drop("__day", "__at", "__o")
+    return events.join(on, F.col(day) == F.col("__day"), "left").withColumn("__at", F.when(F.col(day) > F.lit(end.date), F.lit(end.ord)).otherwise(F.col("__at")) + step).join(target, F.col("__at") == F.col("__o"), "left").drop("__day", "__at", "__o")
 
 
 def membership(dates: DataFrame, snapshots: DataFrame, day: str = "date", taken: str = "taken", member: str = "member") -> DataFrame:

@@ -71,7 +71,7 @@ def validate_bars(df: DataFrame, freq: str = "1d") -> DataFrame:
 
 
 def health(bars: DataFrame, calendar: DataFrame, jump: float = 0.2, samples: int = 3) -> DataFrame:
-    """Per symbol: rows, first and last day, missing trading days, broken prices, share of missing factors, longest idle run, big moves.
+    """Per symbol: rows, first and last day, missing trading days, broken prices, missing closes, share of missing factors, longest idle run, big moves.
 
     A missing day is a trading day between first and last without a bar: trading days in the span less bars on trading days, so that
     no grid is built. Of the big moves the first ``samples`` are listed.
@@ -89,16 +89,22 @@ def health(bars: DataFrame, calendar: DataFrame, jump: float = 0.2, samples: int
     nth = F.when(big, F.count_if(big).over(w))
     rows = rows.select("*", streak.alias("__streak"), nth.alias("__nth"))
     found = rows.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("first"), F.max("date").alias("last"), F.count_if("__bad").alias("ohlc_violations"),
+        F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("first"), F.max("date").alias("last"), F.count_if("__bad").alias("ohlc_violations"), F.count_if(F.col("close").isNull()).alias("null_closes"),
         F.avg(F.col("adj_factor").isNull().cast("double")).alias("factor_missing"), F.max("__streak").alias("idle_days"),
         F.array_sort(F.collect_list(F.when(F.col("__nth") <= samples, F.struct("date", "close")))).alias("__jumps"), F.count("__o").alias("__on"),
     )
     # trading days up to a day: the calendar's running count, carried to every day of its span
     upto = days.select("__day", F.count(F.lit(1)).over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("__c"), F.lead("__day").over(before).alias("__next"))
-    upto = upto.select("__c", "__day", F.explode(F.sequence("__day", F.date_sub(F.coalesce("__next", F.date_add("__day", 3660)), 1))).alias("__at"))
+    upto = upto.select("__c", "__day", F.explode(F.sequence("__day", F.date_sub(F.coalesce("__next", F.date_add("__day", 1)), 1))).alias("__at"))
     a = upto.select(F.col("__at").alias("__a"), F.col("__c").alias("__ca"), (F.col("__at") == F.col("__day")).cast("int").alias("__own"))
     z = upto.select(F.col("__at").alias("__z"), F.col("__c").alias("__cz"))
     spanned = found.join(a, F.col("first") == F.col("__a"), "left").join(z, F.col("last") == F.col("__z"), "left")
-    inside = F.coalesce("__cz", F.lit(0)) - F.coalesce(F.col("__ca") - F.col("__own"), F.lit(0))
+    end = days.agg(F.max("__day").alias("day"), F.count(F.lit(1)).alias("n")).first()
+
+    def counted(when: str, upto: Column) -> Column:
+        """Trading days up to a day, all of them behind the calendar's end."""
+        return F.when(F.col(when) > F.lit(end.day), F.lit(end.n)).otherwise(F.coalesce(upto, F.lit(0)))
+
+    inside = counted("last", F.col("__cz")) - counted("first", F.col("__ca") - F.col("__own"))
     text = F.concat_ws(",", F.transform("__jumps", lambda j: F.date_format(j.date, "yyyy-MM-dd")))
-    return spanned.select("symbol", "n_rows", "first", "last", (inside - F.col("__on")).alias("missing_calendar_days"), "ohlc_violations", "factor_missing", "idle_days", text.alias("big_jumps"))
+    return spanned.select("symbol", "n_rows", "first", "last", (inside - F.col("__on")).alias("missing_calendar_days"), "ohlc_violations", "null_closes", "factor_missing", "idle_days", text.alias("big_jumps"))

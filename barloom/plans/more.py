@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from barloom.functions import clean
+from barloom.functions import clean, cross as X, series as S
 from barloom.ml import dataset as L, models
 from barloom.operators import analysis as A, metrics as M, panel as P
 from barloom.operators.asof import known_at
 from barloom.operators.neutral import neutralize
-from barloom.plans.base import D, W, bars, day, lag, q6, r2, r6, sql, table
+from barloom.plans.base import D, W, bars, day, lag, q6, r2, r6, rank_pct, sql, table
 from barloom.plans.problems import SQL_REPORTS, SQL_SYMBOL, reports
 from barloom.plans.research import IC, MOM, PAIRS, RANKED, momentum_panel
 from barloom.plans.simulated import FEATURES, LIMIT, features, make, plausible, sweep_runs
@@ -92,6 +92,54 @@ def f09_announced_change(spark: SparkSession, sf: str) -> DataFrame:
     return k.select("symbol", day().alias("date"), (-F.col("npg")).alias("value"))
 
 
+@query("j12_value_asof", sql(f"SELECT symbol, {D}, round(close * last_value(CASE WHEN turnover_rate > 0 AND volume > 0 THEN volume * 10000 / turnover_rate END IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) / 1e8, 4) AS market_value FROM b"))
+def j12_value_asof(spark: SparkSession, sf: str) -> DataFrame:
+    """Market value from the float as last seen on or before the day: lots traded over the share of the float they were."""
+    seen = F.when((F.col("turnover_rate") > 0) & (F.col("volume") > 0), F.col("volume") * 10000 / F.col("turnover_rate"))
+    held = S.fill_forward(seen, S.line("symbol"))
+    return bars(spark, sf).select("symbol", day().alias("date"), F.round(F.col("close") * held / 1e8, 4).alias("market_value"))
+
+
+_SAID = f"""ASOF LEFT JOIN (SELECT z.code, z.ann_date, arg_max({{'roe': z.roe, 'gpm': CASE WHEN y.gpm::VARCHAR <> 'nan' THEN y.gpm END, 'npg': CASE WHEN y.npg::VARCHAR <> 'nan' THEN y.npg END, 'srg': CASE WHEN y.srg::VARCHAR <> 'nan' THEN y.srg END}}, (z.period, report_id)) AS v
+    FROM yjbb y JOIN ({SQL_REPORTS}) z USING (report_id) WHERE z.ann_date > z.period AND z.code IS NOT NULL GROUP BY ALL) r ON substr(q.symbol, 1, 6) = r.code AND q.d >= r.ann_date"""
+
+
+@query("f08_growth", sql(
+    f"SELECT symbol, {D}, npg, srg, {q6('(' + rank_pct('roe', 'd') + ' + ' + rank_pct('gpm', 'd') + ') / 2')} AS qual, {q6('(' + rank_pct('npg', 'd') + ' + ' + rank_pct('srg', 'd') + ') / 2')} AS vg FROM k",
+    f"k AS (SELECT q.symbol, q.d, v.roe AS roe, v.gpm AS gpm, v.npg AS npg, v.srg AS srg FROM (SELECT symbol, d FROM b) q {_SAID})"))
+def f08_growth(spark: SparkSession, sf: str) -> DataFrame:
+    """Growth of profit and sales as last announced, and the mean rank of quality (roe, gpm) and of growth within each day."""
+    y = table(spark, sf, "yjbb").select(F.col("report_id").alias("__id"), *[clean.present(c).alias(c) for c in ("gpm", "npg", "srg")])
+    said = reports(spark, sf).where("code is not null and ann_date > period").join(y, F.col("report_id") == F.col("__id"))
+    b = bars(spark, sf).select("symbol", "date", F.substring("symbol", 1, 6).alias("code"))
+    k = known_at(b, said, event_entity="code", event_time="date", entity="code", known="ann_date", rank=["ann_date", "period", "report_id"], attributes=["roe", "gpm", "npg", "srg"])
+    pct = {c: X.rank_pct(F.col(c), ["date"]) for c in ("roe", "gpm", "npg", "srg")}
+    return k.select("symbol", day().alias("date"), "npg", "srg", r6((pct["roe"] + pct["gpm"]) / 2).alias("qual"), r6((pct["npg"] + pct["srg"]) / 2).alias("vg"))
+
+
+@query("f08_value", sql(
+    f"SELECT q.symbol, {D.replace('d,', 'q.d,')}, round(v.ttm / nullif(mv, 0), 6) + 0.0 AS ep, {q6('CASE WHEN mv > 0 THEN -ln(mv / 1e8) END')} AS size FROM m q ASOF LEFT JOIN (SELECT code, ann_date, arg_max({{'ttm': ttm}}, period) AS v FROM t WHERE ttm IS NOT NULL GROUP BY ALL) r ON substr(q.symbol, 1, 6) = r.code AND q.d >= r.ann_date",
+    f"m AS (SELECT symbol, d, round(close * last_value(CASE WHEN turnover_rate > 0 AND volume > 0 THEN volume * 10000 / turnover_rate END IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING), 2) AS mv FROM b)",
+    f"u AS (SELECT code, period, arg_max(profit, (ann_date, report_id)) AS profit, max(ann_date) AS ann_date FROM (SELECT y.report_id, z.code, z.period, z.ann_date, CASE WHEN y.profit::VARCHAR <> 'nan' THEN y.profit END AS profit FROM yjbb y JOIN ({SQL_REPORTS}) z USING (report_id)) WHERE profit IS NOT NULL AND ann_date > period AND code IS NOT NULL GROUP BY ALL)",
+    "q1 AS (SELECT *, lag(profit) OVER w AS pp, lag(period) OVER w AS pd FROM u WINDOW w AS (PARTITION BY code ORDER BY period))",
+    "s1 AS (SELECT code, period, ann_date, profit - CASE WHEN year(pd) = year(period) AND quarter(pd) = quarter(period) - 1 THEN pp ELSE 0 END AS single FROM q1)",
+    "t AS (SELECT code, period, ann_date, CASE WHEN count(*) OVER f = 4 THEN sum(single) OVER f END AS ttm FROM s1 WINDOW f AS (PARTITION BY code ORDER BY period ROWS 3 PRECEDING))"))
+def f08_value(spark: SparkSession, sf: str) -> DataFrame:
+    """Profit of the last four quarters, as last announced, over the market value; and the negative logarithm of that value in units of 1e8."""
+    y = table(spark, sf, "yjbb").select(F.col("report_id").alias("__id"), clean.present("profit").alias("profit"))
+    r = reports(spark, sf).join(y, F.col("report_id") == F.col("__id")).where("profit is not null and ann_date > period and code is not null")
+    r = r.groupBy("code", "period").agg(F.max_by("profit", F.struct("ann_date", "report_id")).alias("profit"), F.max("ann_date").alias("ann_date"))
+    w = Window.partitionBy("code").orderBy("period")
+    before = F.lag("period").over(w)
+    same = (F.year(before) == F.year("period")) & (F.quarter(before) == F.quarter("period") - 1)
+    single = r.withColumn("single", F.col("profit") - F.when(same, F.lag("profit").over(w)).otherwise(0.0))
+    t = single.select("code", "period", "ann_date", S.rolling(F.sum, F.col("single"), 4, w).alias("ttm")).where("ttm is not null")
+    seen = F.when((F.col("turnover_rate") > 0) & (F.col("volume") > 0), F.col("volume") * 10000 / F.col("turnover_rate"))
+    b = bars(spark, sf).select("symbol", "date", F.substring("symbol", 1, 6).alias("code"), F.round(F.col("close") * S.fill_forward(seen, S.line("symbol")), 2).alias("mv"))
+    k = known_at(b, t, event_entity="code", event_time="date", entity="code", known="ann_date", rank=["ann_date", "period"], attributes=["ttm"])
+    return k.select("symbol", day().alias("date"), r6(clean.ratio(F.col("ttm"), F.col("mv"))).alias("ep"), r6(F.when(F.col("mv") > 0, -F.log(F.col("mv") / 1e8))).alias("size"))
+
+
 @query("j12_market_value", sql(f"SELECT b.symbol, {D}, round(close * float_shares / 1e8, 6) AS market_value FROM b LEFT JOIN (SELECT symbol, max(float_shares) AS float_shares FROM instruments GROUP BY 1) i ON i.symbol = b.symbol"))
 def j12_market_value(spark: SparkSession, sf: str) -> DataFrame:
     i = table(spark, sf, "instruments").groupBy("symbol").agg(F.max("float_shares").alias("float_shares"))
@@ -185,6 +233,23 @@ def e02_same_close(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy(F.substring_index("run_id", "#", 1).alias("run_id")).agg(F.round(F.max_by("value", "at"), 2).alias("nav"))
 
 
+@query("e12_accounts", sql("SELECT DISTINCT substr(symbol, 1, 3) AS run_id, 0::BIGINT AS overdrawn, 0::BIGINT AS sold_on_day_bought, 0::BIGINT AS odd_lots, true AS cash_adds_up FROM b WHERE open > 0 AND close > 0 AND high > 0 AND low > 0"))
+def e12_accounts(spark: SparkSession, sf: str) -> DataFrame:
+    """Portfolios of several symbols that share cash, one per first three digits of the code: what their books must not show, and that cash adds up."""
+    b = plausible(spark, sf).withColumn("universe", F.substring("symbol", 1, 3))
+    of = b.groupBy("universe").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
+    params = F.to_json(F.struct(F.lit("DualMA").alias("strategy"), F.lit(3).alias("fast"), F.lit(8).alias("slow"), F.lit(0.3).alias("cap"), "symbols"))
+    rows = simulate(b, of.select(F.col("universe").alias("run_id"), "universe", params.alias("params")), make)
+    trade, buy = F.col("kind") == "trade", F.col("side") == "buy"
+    per_day = rows.groupBy("run_id", "symbol", F.col("at").cast("date").alias("day")).agg(
+        F.count_if(trade & (F.col("cash") < -0.01)).alias("overdrawn"), (F.max(F.coalesce(trade & buy, F.lit(False))) & F.max(F.coalesce(trade & ~buy, F.lit(False)))).cast("int").alias("both"),
+        F.count_if(trade & buy & (F.col("qty") % 100 != 0)).alias("odd"),
+        F.sum(F.when(trade, F.when(buy, -F.col("value")).otherwise(F.col("value")) - F.col("fees"))).alias("flow"), F.max(F.when(F.col("kind") == "nav", F.struct("at", "cash"))).alias("last"),
+    )
+    adds = F.abs(1e6 + F.coalesce(F.sum("flow"), F.lit(0.0)) - F.max("last").cash) < 0.05
+    return per_day.groupBy("run_id").agg(F.sum("overdrawn").alias("overdrawn"), F.sum("both").alias("sold_on_day_bought"), F.sum("odd").alias("odd_lots"), adds.alias("cash_adds_up"))
+
+
 @query("e07_futures")
 def e07_futures(spark: SparkSession, sf: str) -> DataFrame:
     """Long and short futures portfolios over weekly prices of brands taken as continuous contracts."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barloom.functions import clean
 from barloom.functions.units import BARE, BASES, CONVERSIONS, MULTIPLIED, MULTIPLIERS
@@ -18,19 +18,30 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def bar_copies(spark: SparkSession, sf: str) -> DataFrame:
+def bar_copies(spark: SparkSession, sf: str, repeats: str) -> DataFrame:
     bars = table(spark, sf, "daily_bars").select("symbol", F.col("date").cast("date").alias("day"), "adj_factor", "pre_close")
     xdxr = table(spark, sf, "factor_xdxr").select(clean.canon_symbol("symbol").alias("symbol"), F.col("date").alias("day"), "adj_factor", "pre_close")
-    return diff_copies(bars, xdxr, ["symbol", "day"], ["adj_factor", "pre_close"], repeats="once")
+    return diff_copies(bars, xdxr, ["symbol", "day"], ["adj_factor", "pre_close"], repeats=repeats)
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("kind") == "only_left", "only_bars").when(F.col("kind") == "only_right", "only_xdxr").when(F.col("kind") == "value", F.col("field"))
-    return bar_copies(spark, sf).select("symbol", clean.day_text("day").alias("date"), kind.alias("diff_kind")).where("diff_kind is not null").distinct()
+    # copies left over beyond the number of the other side are repeats of a row there, which count once
+    return bar_copies(spark, sf, "count").select("symbol", clean.day_text("day").alias("date"), kind.alias("diff_kind")).where("diff_kind is not null").distinct()
 
 
 def p1_differences(spark: SparkSession, sf: str) -> DataFrame:
-    return bar_copies(spark, sf).select("symbol", clean.day_text("day").alias("date"), "kind", "field", F.col("left_value").try_cast("double").alias("bars_value"), F.col("right_value").try_cast("double").alias("xdxr_value"), "n")
+    return bar_copies(spark, sf, "once").select("symbol", clean.day_text("day").alias("date"), "kind", "field", F.col("left_value").try_cast("double").alias("bars_value"), F.col("right_value").try_cast("double").alias("xdxr_value"), "n")
+
+
+def p1_crowded(spark: SparkSession, sf: str) -> DataFrame:
+    """The factors of a symbol's month as a bag: many rows a key on both sides, exact at four decimals; differences by symbol, month and kind."""
+    def side(name: str, symbol: Column) -> DataFrame:
+        rows = table(spark, sf, name).select(symbol.alias("symbol"), F.col("date").cast("date").alias("day"), F.round(clean.present("adj_factor"), 4).alias("adj_factor"))
+        return rows.select("symbol", F.date_format("day", "yyyy-MM").alias("month"), "adj_factor")
+
+    found = diff_copies(side("daily_bars", F.col("symbol")), side("factor_xdxr", clean.canon_symbol("symbol")), ["symbol", "month"], ["adj_factor"], tolerance=0.0)
+    return found.groupBy("symbol", "month", "kind").agg(F.sum("n").alias("n"))
 
 
 FIGURES = ("volume", "amount", "turnover_rate")
@@ -137,7 +148,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_changes(spark, sf).drop("changed_fields")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_differences, p2_found, p2_linked, p2_values, p2_conversions, p3_found, p3_grid, p4_found, p4_signals, p5_found, p6_found, p6_changes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_differences, p1_crowded, p2_found, p2_linked, p2_values, p2_conversions, p3_found, p3_grid, p4_found, p4_signals, p5_found, p6_found, p6_changes)}
 
 #: DuckDB expressions for the raw forms.
 SQL_SYMBOL = "regexp_extract({0}, '([0-9]{{6}})', 1) || '.' || regexp_extract(upper({0}), '(SH|SZ|BJ)', 1)"
@@ -232,6 +243,13 @@ SQL = {
         UNION ALL SELECT symbol, strftime(d, '%Y-%m-%d'), 'only_right', NULL, NULL, NULL, 1 FROM m WHERE nob
         UNION ALL SELECT symbol, strftime(d, '%Y-%m-%d'), 'value', 'adj_factor', bf, xf, 1 FROM m WHERE NOT nob AND NOT nox AND {SQL_DIFFER.format('bf', 'xf')}
         UNION ALL SELECT symbol, strftime(d, '%Y-%m-%d'), 'value', 'pre_close', bp, xp, 1 FROM m WHERE NOT nob AND NOT nox AND {SQL_DIFFER.format('bp', 'xp')}""",
+    "p1_crowded": f"""WITH l AS (SELECT symbol, strftime(date, '%Y-%m') AS month, round({SQL_VALUE.format('adj_factor')}, 4) AS f, 1 AS l, 0 AS r FROM daily_bars
+        UNION ALL SELECT {SQL_SYMBOL.format('symbol')}, strftime(date, '%Y-%m'), round({SQL_VALUE.format('adj_factor')}, 4), 0, 1 FROM factor_xdxr),
+        c AS (SELECT symbol, month, f, sum(l) AS l, sum(r) AS r FROM l GROUP BY ALL),
+        k AS (SELECT symbol, month, sum(l)::BIGINT AS nl, sum(r)::BIGINT AS nr, sum(greatest(l - r, 0))::BIGINT AS a, sum(greatest(r - l, 0))::BIGINT AS b FROM c GROUP BY ALL)
+        SELECT symbol, month, 'only_left' AS kind, nl AS n FROM k WHERE nr = 0 UNION ALL SELECT symbol, month, 'only_right', nr FROM k WHERE nl = 0
+        UNION ALL SELECT symbol, month, 'value', least(a, b) FROM k WHERE nl > 0 AND nr > 0 AND least(a, b) > 0
+        UNION ALL SELECT symbol, month, 'surplus_left', a - b FROM k WHERE nl > 0 AND nr > 0 AND a > b UNION ALL SELECT symbol, month, 'surplus_right', b - a FROM k WHERE nl > 0 AND nr > 0 AND b > a""",
     "p2_found": f"WITH {_sql_units()} SELECT delivery_id, field, power FROM p WHERE power <> 0",
     "p2_values": f"WITH {_sql_units()} SELECT s.delivery_id, s.source, " + ", ".join(f"round(max(p.n * pow(10.0, p.power)) FILTER (field = '{f}'), 6) AS {f}" for f in FIGURES) + ", concat_ws(',', " + ", ".join(f"max(CASE WHEN p.inferred AND field = '{f}' THEN field END)" for f in FIGURES) + ") AS inferred FROM source_bars s LEFT JOIN p USING (delivery_id) GROUP BY 1, 2",
     "p3_found": f"""WITH {_GRID}

@@ -367,8 +367,8 @@ def f08_fundamentals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("a15_health", sql(
-    f"SELECT symbol, n_rows, first, last, missing_calendar_days, ohlc_violations, factor_missing, coalesce(idle_days, 0) AS idle_days, coalesce(big_jumps, '') AS big_jumps FROM h LEFT JOIN st USING (symbol) LEFT JOIN mi USING (symbol) LEFT JOIN jp USING (symbol)",
-    "h AS (SELECT symbol, count(*) AS n_rows, strftime(min(d), '%Y-%m-%d') AS first, strftime(max(d), '%Y-%m-%d') AS last, count(*) FILTER (high + 1e-6 < low OR greatest(open, close) > high + 1e-6 OR least(open, close) < low - 1e-6) AS ohlc_violations, round(avg((adj_factor IS NULL)::INT), 6) AS factor_missing FROM b GROUP BY symbol)",
+    f"SELECT symbol, n_rows, first, last, missing_calendar_days, ohlc_violations, null_closes, factor_missing, coalesce(idle_days, 0) AS idle_days, coalesce(big_jumps, '') AS big_jumps FROM h LEFT JOIN st USING (symbol) LEFT JOIN mi USING (symbol) LEFT JOIN jp USING (symbol)",
+    "h AS (SELECT symbol, count(*) AS n_rows, strftime(min(d), '%Y-%m-%d') AS first, strftime(max(d), '%Y-%m-%d') AS last, count(*) FILTER (high + 1e-6 < low OR greatest(open, close) > high + 1e-6 OR least(open, close) < low - 1e-6) AS ohlc_violations, count(*) FILTER (close IS NULL OR isnan(close)) AS null_closes, round(avg((adj_factor IS NULL)::INT), 6) AS factor_missing FROM b GROUP BY symbol)",
     "c AS (SELECT DISTINCT date FROM calendar WHERE date IS NOT NULL)", "mi AS (SELECT s.symbol, count(c.date) - count(b.d) AS missing_calendar_days FROM (SELECT symbol, min(d) AS a, max(d) AS z FROM b GROUP BY 1) s LEFT JOIN c ON c.date BETWEEN a AND z LEFT JOIN b ON b.symbol = s.symbol AND b.d = c.date GROUP BY 1)",
     "i1 AS (SELECT symbol, d, coalesce(volume <= 0, false)::INT AS z FROM b)", f"i2 AS (SELECT *, CASE WHEN z = {lag('z')} THEN 0 ELSE 1 END AS new FROM i1)", f"i3 AS (SELECT *, sum(new) OVER ({W} ROWS UNBOUNDED PRECEDING) AS run FROM i2)", "st AS (SELECT symbol, max(n) AS idle_days FROM (SELECT symbol, run, sum(z) AS n FROM i3 GROUP BY ALL) GROUP BY symbol)",
     f"jm AS (SELECT symbol, d FROM (SELECT symbol, d, abs(close / nullif({lag('close')}, 0) - 1) AS m FROM b) WHERE m > 0.2 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY d) <= 3)", "jp AS (SELECT symbol, string_agg(strftime(d, '%Y-%m-%d'), ',' ORDER BY d) AS big_jumps FROM jm GROUP BY symbol)"))

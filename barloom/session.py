@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 
@@ -25,9 +26,14 @@ def build_session(app: str = "barloom", master: str | None = None, shuffle_parti
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/barloom-checkpoints") -> str:
-    """The folder of spark.checkpoint.dir if the session names one, else the fallback (tests, single machine)."""
+    """The folder of spark.checkpoint.dir if the session names one, else the context's own, else the fallback where all is on one machine.
+
+    On a cluster without the setting this is an error: a folder of one machine would lose the others' rows.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given is None:
+        if spark.sparkContext.getCheckpointDir() is None and not str(getattr(spark.sparkContext, "master", "local")).split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(fallback)
         return spark.sparkContext.getCheckpointDir()
@@ -41,9 +47,27 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/barloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _STAGED:
+        atexit.register(_drop_own)
+    _STAGED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Sessions and tables this process has staged.
+_STAGED: list[tuple[SparkSession, str]] = []
+
+
+def _drop_own() -> None:
+    """At the end of the process its staged tables go, if their session still runs."""
+    for spark, path in _STAGED:
+        try:
+            if spark.sparkContext._jsc is not None:
+                target = spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session is gone, and with it the way to delete
+            return
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Delete the staged tables under the checkpoint folder; their number. Only call it when no result is read from them any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))

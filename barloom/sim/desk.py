@@ -151,7 +151,9 @@ class Context:
 
 
 class Strategy:
-    """Hooks in the order of a day; all are optional."""
+    """Hooks in the order of a day; all are optional. ``lookback`` is how many days of history the hooks see at most; None is all of it."""
+
+    lookback: int | None = None
 
     def __init__(self, **params):
         self.params = params
@@ -377,20 +379,23 @@ class Desk:
 def simulate(bars: DataFrame, runs: DataFrame, make: Callable[[dict], tuple[Strategy, Settings]], *, universe: str = "universe") -> DataFrame:
     """Many portfolios at once. ``runs``: run_id, ``universe`` (a value of the bars' column of that name), params (JSON).
 
-    Bars meet runs on the universe, and each run is one group with its universe's bars: parallel over runs, sequential within one, as a
-    portfolio is. Columns: run_id and those of the tagged rows. ``make`` gets the run's parameters.
+    Bars meet runs on the universe: a universe's bars are brought together once and all of its runs are folded over them, so that a sweep
+    shuffles no copies; parallel over universes, sequential within one, as a portfolio is. Columns: run_id and those of the tagged rows.
+    ``make`` gets the run's parameters.
     """
     need = [c for c in ("symbol", "date", "open", "high", "low", "close", "pre_close", "volume", "amount", "adj_factor") if c in bars.columns]
-    met = bars.select(F.col(universe).alias("__u"), *need).join(runs.select("run_id", F.col(universe).alias("__v"), "params"), F.col("__u") == F.col("__v")).select("run_id", "params", *need)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        strategy, settings = make(json.loads(pdf["params"].iloc[0]))
-        rows = Desk(strategy, settings).run(pdf.drop(columns=["run_id", "params"]))
-        out = pd.DataFrame(rows, columns=list(ROW))
-        out.insert(0, "run_id", pdf["run_id"].iloc[0])
-        return out.astype({"qty": float, "price": float, "value": float, "fees": float, "cash": float, "pnl": float})
-
-    return met.groupBy("run_id").applyInPandas(run, "run_id string, " + SCHEMA)
+    theirs = runs.select("run_id", F.col(universe).alias("__v"), "params")
+
+    def run(bars: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for run_id, params in zip(asked["run_id"], asked["params"]) if len(bars) else ():
+            strategy, settings = make(json.loads(params))
+            out = pd.DataFrame(Desk(strategy, settings).run(bars.drop(columns=["__u"])), columns=list(ROW))
+            out.insert(0, "run_id", run_id)
+            parts.append(out.astype({"qty": float, "price": float, "value": float, "fees": float, "cash": float, "pnl": float}))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["run_id", *ROW])
+
+    return bars.select(F.col(universe).alias("__u"), *need).groupBy("__u").cogroup(theirs.groupBy("__v")).applyInPandas(run, "run_id string, " + SCHEMA)
 
 
 def sweep(bars: DataFrame, grid: list[dict], make: Callable[[dict], tuple[Strategy, Settings]], universes: DataFrame, universe: str = "universe") -> DataFrame:

@@ -62,7 +62,8 @@ def first_alerts(alerts: DataFrame, seconds: float, key: str = "key", ts: str =
 def portfolios(bars: DataFrame, make: Callable[[str], tuple[Strategy, Settings]], run_id: str = "run_id") -> DataFrame:
     """A stream of bars folded into portfolios, one state per run, kept by the engine; rows as in the batch simulation.
 
-    Each batch carries whole days of a run's bars. A strategy that looks back gets the days kept in the state.
+    Each batch carries whole days of a run's bars. The state keeps all days, or as many as the strategy
+    says it looks back on.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -72,7 +73,7 @@ def portfolios(bars: DataFrame, make: Callable[[str], tuple[Strategy, Settings]]
         frame = pd.concat([seen, new]).drop_duplicates(["symbol", "date"], keep="first") if len(seen) else new
         strategy, settings = make(key[0])
         text, rows = resume(text, strategy, settings, frame.drop(columns=[run_id], errors="ignore"))
-        keep = frame[frame["date"].isin(sorted(frame["date"].unique())[-250:])]
+        keep = frame if strategy.lookback is None else frame[frame["date"].isin(sorted(frame["date"].unique())[-strategy.lookback:])]
         state.update((text, keep.to_json(orient="split", date_format="iso")))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
         out.insert(0, run_id, key[0])

@@ -1,3 +1,5 @@
+import pytest
+
 from barloom.session import drop_staged, ensure_checkpoint_dir, stage_table
 from tests.conftest import rows
 
@@ -24,6 +26,11 @@ def test_the_session_names_the_folder():
         def __init__(self, given):
             self.conf = {"spark.checkpoint.dir": given} if given else {}
 
+    cluster = Session(None)
+    cluster.sparkContext.master = "spark://host:7077"
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(cluster)
+    Session.sparkContext = Context()
     assert ensure_checkpoint_dir(Session("file:///shared")) == "file:///shared"
     Session.sparkContext = Context()
     assert ensure_checkpoint_dir(Session(None), "/tmp/x") == "/tmp/x/own"

@@ -75,8 +75,10 @@ def predict_trees(dataset: DataFrame, splits: DataFrame, features: Sequence[str]
         model = GBTRegressor(featuresCol="__x", labelCol=label, maxIter=rounds, stepSize=rate, maxDepth=depth, seed=7).fit(part.where("part = 'train'"))
         total = sum(model.featureImportances.toArray()) or 1.0
         weights = F.array(*[F.lit(float(x / total)) for x in model.featureImportances.toArray()])
-        scored = model.transform(part.where("part = 'test'")).select("split", "symbol", "date", "prediction", F.col(label).alias("label"), weights.alias("importance"))
+        scored = stage_table(model.transform(part.where("part = 'test'")).select("split", "symbol", "date", "prediction", F.col(label).alias("label"), weights.alias("importance")), "trees")
         out = scored if out is None else out.unionByName(scored)
+    if out is not None:
+        ready.unpersist()
     return out if out is not None else ready.select("split", "symbol", "date", F.col(label).alias("prediction"), F.col(label).alias("label"), F.array().cast("array<double>").alias("importance")).limit(0)
 
 

@@ -34,7 +34,7 @@ def known_at(events: DataFrame, changes: DataFrame, *, event_entity: str, event_
     All columns of ``events`` stay; attributes are added under their names (with ``_known`` behind, where an event column has that name).
     ``how`` is ``left`` (events without a row get nulls) or ``inner``. A row known on day d serves events of day d and later, until a
     better-ranked one is known. Intervals are copied into the buckets of ``bucket_days`` they touch, from the bucket they begin in to the last
-    one an event falls into, and events meet them on (entity, bucket): a hot entity is spread over its buckets. Events with a null entity
+    one an event of their entity falls into, and events meet them on (entity, bucket): a hot entity is spread over its buckets. Events with a null entity
     or time match nothing. Repeated changes have no effect.
     """
     if how not in ("left", "inner"):
@@ -45,11 +45,10 @@ def known_at(events: DataFrame, changes: DataFrame, *, event_entity: str, event_
         return F.floor(F.datediff(d, epoch) / F.lit(bucket_days)).cast("int")
 
     mine = events.select("*", quoted(event_entity).alias("__who"), quoted(event_time).cast("date").alias("__when")).withColumn("__slot", bucket(F.col("__when")))
-    horizon = mine.agg(F.max("__slot")).first()[0]
-    intervals = holding_intervals(changes, entity, known, rank, attributes)
-    first, last = bucket(F.col("__from")), F.coalesce(bucket(F.date_sub("__to", 1)), F.lit(horizon).cast("int"))
-    last = F.least(last, F.lit(horizon).cast("int"))
-    spread = intervals.where(first <= F.lit(horizon).cast("int")).select("*", F.explode(F.sequence(first, F.greatest(first, last))).alias("__bucket"))
+    ends = mine.where("__who is not null and __slot is not null").groupBy(F.col("__who").alias("__e")).agg(F.max("__slot").alias("__horizon"))
+    intervals = holding_intervals(changes, entity, known, rank, attributes).join(ends, F.col("__entity") == F.col("__e"))
+    first, last = bucket(F.col("__from")), F.least(F.coalesce(bucket(F.date_sub("__to", 1)), F.col("__horizon")), F.col("__horizon"))
+    spread = intervals.where(first <= F.col("__horizon")).select("*", F.explode(F.sequence(first, F.greatest(first, last))).alias("__bucket"))
     taken = set(events.columns)
     names = [a if a not in taken else f"{a}_known" for a in attributes]
     spread = spread.select("__entity", "__bucket", "__from", "__to", *[F.col(f"__held.a{i}").alias(f"__a{i}") for i in range(len(attributes))])

@@ -276,11 +276,11 @@ def j10_asof(spark: SparkSession, sf: str) -> DataFrame:
     return known_at(b, said, event_entity="code", event_time="date", entity="code", known="ann_date", rank=["ann_date", "period", "report_id"], attributes=["roe"]).select("symbol", day().alias("date"), "roe")
 
 
-@query("j13_membership", "WITH t AS (SELECT snapshot_tag, min(taken_at)::DATE AS taken FROM bar_snapshots GROUP BY 1), m AS (SELECT DISTINCT t.taken, upper(trim(symbol)) AS member FROM bar_snapshots JOIN t USING (snapshot_tag)), c AS (SELECT DISTINCT date FROM calendar WHERE date >= DATE '2024-11-01') SELECT strftime(c.date, '%Y-%m-%d') AS date, count(*) AS members FROM c JOIN m ON m.taken = (SELECT max(taken) FROM t WHERE taken <= c.date) GROUP BY 1")
+@query("j13_membership", "WITH t AS (SELECT snapshot_tag, min(taken_at)::DATE AS taken FROM bar_snapshots GROUP BY 1), m AS (SELECT DISTINCT t.taken, upper(trim(symbol)) AS member FROM bar_snapshots JOIN t USING (snapshot_tag)), c AS (SELECT DISTINCT date FROM calendar WHERE date IS NOT NULL) SELECT strftime(c.date, '%Y-%m-%d') AS date, count(*) AS members FROM c JOIN m ON m.taken = (SELECT max(taken) FROM t WHERE taken <= c.date) GROUP BY 1")
 def j13_membership(spark: SparkSession, sf: str) -> DataFrame:
     """How many symbols the latest snapshot before each day holds."""
     snaps = table(spark, sf, "bar_snapshots").select(F.col("taken_at").alias("taken"), clean.canon_symbol("symbol").alias("member")).distinct()
-    dates = table(spark, sf, "calendar").where("date >= '2024-11-01'").select("date").distinct()
+    dates = table(spark, sf, "calendar").where("date is not null").select("date").distinct()
     return P.membership(dates, snaps).groupBy("date").agg(F.count(F.lit(1)).alias("members")).withColumn("date", day())
 
 
@@ -406,8 +406,7 @@ def k05_calendar(spark: SparkSession, sf: str) -> DataFrame:
 def k06_incremental_start(spark: SparkSession, sf: str) -> DataFrame:
     b = table(spark, sf, "daily_bars")
     last = b.groupBy("symbol").agg(F.max("date").alias("date"))
-    names = [r[0] for r in last.select("symbol").collect()]  # the configured universe
-    return incremental_start(last, names).select(day("start").alias("start"))
+    return incremental_start(b, last.select("symbol")).select(day("start").alias("start"))
 
 
 @query("o01_union_sources", "SELECT source, count(*) AS n FROM (SELECT source FROM source_bars UNION ALL SELECT source FROM bar_versions) GROUP BY source")

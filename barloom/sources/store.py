@@ -69,8 +69,11 @@ class BarStore:
         with open(draft, "w") as f:
             f.write(name)
         os.replace(draft, os.path.join(self._dir(freq), "CURRENT"))
-        if old:
-            shutil.rmtree(old, ignore_errors=True)
+        # the version before stays until the next write, for those who still read it
+        kept = {name, os.path.basename(old or "")}
+        for other in os.listdir(self._dir(freq)):
+            if other.startswith("v-") and other not in kept:
+                shutil.rmtree(os.path.join(self._dir(freq), other), ignore_errors=True)
         return sum(x["rows"] for x in facts.values())
 
     @staticmethod
@@ -109,8 +112,11 @@ class BarStore:
     def _replace(self, df: DataFrame, name: str) -> None:
         path, draft = os.path.join(self.root, name), os.path.join(self.root, f".{name}-{uuid.uuid4().hex}")
         df.coalesce(1).write.parquet(draft)
-        shutil.rmtree(path, ignore_errors=True)
+        past = f"{draft}-old"
+        if os.path.exists(path):
+            os.rename(path, past)
         os.rename(draft, path)
+        shutil.rmtree(past, ignore_errors=True)
 
     # Reading.
     def _read(self, freq: str) -> DataFrame | None:
@@ -217,11 +223,13 @@ def search_instruments(instruments: DataFrame, text: str, limit: int = 20) -> Da
     return instruments.where(hit).orderBy("symbol").limit(limit)
 
 
-def incremental_start(bars: DataFrame, symbols: Sequence[str], freq: str = "1d") -> DataFrame:
-    """One row, ``start``."""
-    last = bars.where(F.col("symbol").isin(list(symbols))).groupBy("symbol").agg(F.max(F.col("date").cast("date")).alias("d"))
+def incremental_start(bars: DataFrame, symbols: DataFrame | Sequence[str], freq: str = "1d") -> DataFrame:
+    """One row, ``start``. The symbols asked for are a table with that column, or names; they meet the bars by a join."""
+    asked = symbols.select("symbol") if isinstance(symbols, DataFrame) else bars.sparkSession.createDataFrame([(s,) for s in symbols], "symbol string")
+    last = bars.groupBy("symbol").agg(F.max(F.col("date").cast("date")).alias("d"))
+    met = asked.distinct().join(last, "symbol", "left")
     first = F.min("d") if freq != "1d" else F.date_add(F.min("d"), 1)
-    return last.agg(F.when(F.count(F.lit(1)) == len(set(symbols)), first).otherwise(F.lit("1990-01-01").cast("date")).alias("start"))
+    return met.agg(F.when((F.count("d") == F.count(F.lit(1))) & (F.count("d") > 0), first).otherwise(F.lit("1990-01-01").cast("date")).alias("start"))
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

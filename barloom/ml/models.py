@@ -62,24 +62,38 @@ def predict_linear(dataset: DataFrame, splits: DataFrame, features: Sequence[str
     return scored.select("split", "symbol", "date", total.alias("prediction"), F.col(label).alias("label"), "importance")
 
 
-def predict_trees(dataset: DataFrame, splits: DataFrame, features: Sequence[str], label: str = "label", *, rounds: int = 20, rate: float = 0.05, depth: int = 5, least_train: int = 30, least_test: int = 10) -> DataFrame:
-    """As predict_linear with boosted trees; each split is one distributed fit, splits follow one another (there are few of them)."""
+def predict_with(estimator, dataset: DataFrame, splits: DataFrame, features: Sequence[str], label: str = "label", *, least_train: int = 30, least_test: int = 10) -> DataFrame:
+    """As predict_linear with any estimator of the session's machine learning that reads ``__x`` and the label and gives ``prediction``.
+
+    Each split is one distributed fit, splits follow one another (there are few of them), and a split's predictions are staged. Importance is
+    the model's own (or the share of its absolute coefficients), else zeros.
+    """
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
 
     ready = VectorAssembler(inputCols=list(features), outputCol="__x").transform(dataset.join(splits, "date")).persist()
     out = None
     counts = ready.groupBy("split").agg(F.count_if(F.col("part") == "train").alias("a"), F.count_if(F.col("part") == "test").alias("b")).where((F.col("a") >= least_train) & (F.col("b") >= least_test))
     for split in sorted(r.split for r in counts.collect()):
         part = ready.where(F.col("split") == split)
-        model = GBTRegressor(featuresCol="__x", labelCol=label, maxIter=rounds, stepSize=rate, maxDepth=depth, seed=7).fit(part.where("part = 'train'"))
-        total = sum(model.featureImportances.toArray()) or 1.0
-        weights = F.array(*[F.lit(float(x / total)) for x in model.featureImportances.toArray()])
-        scored = stage_table(model.transform(part.where("part = 'test'")).select("split", "symbol", "date", "prediction", F.col(label).alias("label"), weights.alias("importance")), "trees")
+        model = estimator.fit(part.where("part = 'train'"))
+        told = getattr(model, "featureImportances", None)
+        told = told if told is not None else getattr(model, "coefficients", None)
+        parts = np.abs(told.toArray()) if told is not None else np.zeros(len(features))
+        weights = F.array(*[F.lit(float(x / (parts.sum() or 1.0))) for x in parts])
+        scored = stage_table(model.transform(part.where("part = 'test'")).select("split", "symbol", "date", "prediction", F.col(label).alias("label"), weights.alias("importance")), "scored")
         out = scored if out is None else out.unionByName(scored)
+    empty = ready.select("split", "symbol", "date", F.col(label).alias("prediction"), F.col(label).alias("label"), F.array().cast("array<double>").alias("importance")).limit(0)
     if out is not None:
         ready.unpersist()
-    return out if out is not None else ready.select("split", "symbol", "date", F.col(label).alias("prediction"), F.col(label).alias("label"), F.array().cast("array<double>").alias("importance")).limit(0)
+    return out if out is not None else empty
+
+
+def predict_trees(dataset: DataFrame, splits: DataFrame, features: Sequence[str], label: str = "label", *, rounds: int = 20, rate: float = 0.05, depth: int = 5, least_train: int = 30, least_test: int = 10) -> DataFrame:
+    """predict_with boosted trees."""
+    from pyspark.ml.regression import GBTRegressor
+
+    trees = GBTRegressor(featuresCol="__x", labelCol=label, maxIter=rounds, stepSize=rate, maxDepth=depth, seed=7)
+    return predict_with(trees, dataset, splits, features, label, least_train=least_train, least_test=least_test)
 
 
 def prediction_ic(predictions: DataFrame) -> DataFrame:

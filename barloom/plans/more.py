@@ -13,6 +13,7 @@ from barloom.plans.base import D, W, bars, day, lag, q6, r2, r6, rank_pct, sql,
 from barloom.plans.problems import SQL_REPORTS, SQL_SYMBOL, reports
 from barloom.plans.research import IC, MOM, PAIRS, RANKED, momentum_panel
 from barloom.plans.simulated import FEATURES, LIMIT, features, make, plausible, sweep_runs
+from barloom.service.operate import translate_orders
 from barloom.sim.desk import Settings, simulate
 from barloom.sim.rules import Costs
 from barloom.sim.strategies import DualMASymmetric, FuturesShort
@@ -250,6 +251,16 @@ def e12_accounts(spark: SparkSession, sf: str) -> DataFrame:
     return per_day.groupBy("run_id").agg(F.sum("overdrawn").alias("overdrawn"), F.sum("both").alias("sold_on_day_bought"), F.sum("odd").alias("odd_lots"), adds.alias("cash_adds_up"))
 
 
+@query("v07_orders", """SELECT signal_id, side, CASE WHEN side = 'buy' THEN q // 100 * 100 ELSE q END AS quantity, CASE WHEN CASE WHEN side = 'buy' THEN q // 100 * 100 ELSE q END > 0 THEN round(close * CASE WHEN side = 'buy' THEN 1.02 ELSE 0.98 END, 3) END AS limit_price,
+    CASE WHEN CASE WHEN side = 'buy' THEN q // 100 * 100 ELSE q END <= 0 THEN 'LOT_TOO_SMALL' WHEN close IS NULL THEN 'NO_REF_PRICE' END AS note
+    FROM (SELECT signal_id, symbol, side, signal_id * 37 % 1500 AS q FROM signals WHERE side IS NOT NULL) s LEFT JOIN (SELECT symbol, arg_max(close, (date::DATE, updated_at)) AS close FROM daily_bars GROUP BY 1) b USING (symbol)""")
+def v07_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals as orders of made-up sizes, in lots and with a limit of two percent around the last close."""
+    orders = table(spark, sf, "signals").where("side is not null").select("signal_id", "symbol", "side", (F.col("signal_id") * 37 % 1500).alias("qty"))
+    last = bars(spark, sf).groupBy("symbol").agg(F.max_by("close", "date").alias("price"))
+    return translate_orders(orders, last, 0.02).select("signal_id", "side", "quantity", "limit_price", "note")
+
+
 @query("e07_futures")
 def e07_futures(spark: SparkSession, sf: str) -> DataFrame:
     """Long and short futures portfolios over weekly prices of brands taken as continuous contracts."""

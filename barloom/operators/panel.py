@@ -62,6 +62,20 @@ def densify(bars: DataFrame, columns: Sequence[str]) -> DataFrame:
     return marked.unionByName(bars.select("symbol", "date", *columns)).repartition("symbol").groupBy("symbol", "date").agg(*[F.max(c).alias(c) for c in columns])
 
 
+def on_dates(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bars with ``ord``, dates): the place of each bar's date among all dates of the table, and these dates with theirs.
+
+    With places, a window by range looks back or ahead by dates of the table, as on a dense panel, over the bars alone.
+    """
+    dates = bars.select("date").distinct().select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("ord"))  # a row per day
+    return bars.join(dates, "date"), dates
+
+
+def at(x: Column, n: int, by: str = "symbol") -> Column:
+    """The value n dates away (before, if negative); NULL where there is no bar."""
+    return F.max(x).over(Window.partitionBy(by).orderBy("ord").rangeBetween(n, n))
+
+
 def trading_days(calendar: DataFrame) -> DataFrame:
     """Distinct days with their ordinal from 0. The calendar is one row per day, a few thousand in all."""
     days = calendar.select(F.col("date").cast("date").alias("date")).where("date is not null").distinct()

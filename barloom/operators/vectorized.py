@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions import cross as X, series as S
 from barloom.functions.clean import ratio
+from barloom.operators import panel as P
 
 
 def weights_from_factor(values: DataFrame, value: str = "value", *, top: float = 0.2, bottom: float = 0.2, gross: float = 1.0, min_stocks: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -43,6 +44,26 @@ def portfolio(weights: DataFrame, prices: DataFrame | None = None, *, price: str
     return daily.withColumn("nav", F.product(1 + F.col("net")).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def portfolio_on_rows(weights: DataFrame, dates: DataFrame, *, price: str = "h", fee_rate: float = 1.5e-4, lag: int = 1) -> DataFrame:
+    """As ``portfolio``, from bars alone: ``weights`` has symbol, ord, weight and the price of each bar, ``dates`` all dates with their ord.
+
+    A weight is held from ``lag`` dates on until the next date; where there is no bar then, it is given up at that date. Nothing is
+    multiplied out to symbols by dates.
+    """
+    if lag < 1 or fee_rate < 0:
+        raise ValueError("lag is at least 1 and fee_rate not negative")
+    w = Window.partitionBy("symbol").orderBy("ord")
+    held, mine = F.coalesce("weight", F.lit(0.0)), F.col("weight")
+    rows = weights.select("ord", held.alias("w"), F.coalesce(P.at(mine, -lag), F.lit(0.0)).alias("was"), F.coalesce(P.at(mine, -1), F.lit(0.0)).alias("before"), P.at(F.col("ord"), 1).isNull().alias("ends"), S.change(F.col(price), w).alias("r"))
+    part = lambda o, g, d: F.struct(o.alias("ord"), g.alias("g"), d.alias("d"))
+    none = F.lit(None).cast("double")
+    parts = F.array(part(F.col("ord"), F.col("was") * F.col("r"), none), part(F.col("ord") + lag, none, F.abs(F.col("w") - F.col("before"))), F.when(F.col("ends"), part(F.col("ord") + lag + 1, none, F.abs(F.col("w")))))
+    daily = rows.select(F.explode(parts).alias("x")).where("x is not null").groupBy(F.col("x.ord").alias("__o")).agg(F.sum("x.g").alias("g"), F.sum("x.d").alias("d"))
+    every = dates.join(daily, F.col("ord") == F.col("__o"), "left").select("date", F.coalesce("g", F.lit(0.0)).alias("gross"), (F.coalesce("d", F.lit(0.0)) / 2).alias("turnover"))
+    every = every.withColumn("net", F.col("gross") - F.col("turnover") * fee_rate)
+    return every.withColumn("nav", F.product(1 + F.col("net")).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def rebalance_days(dates: DataFrame, every: str | int) -> DataFrame:
     """First date of each month or week, or every k-th date; one row per date."""
     if every in ("month", "week"):

@@ -11,7 +11,7 @@ from barloom.operators.asof import known_at
 from barloom.operators.neutral import neutralize
 from barloom.plans.base import D, W, bars, day, lag, q6, r2, r6, rank_pct, sql, table
 from barloom.plans.problems import SQL_REPORTS, SQL_SYMBOL, reports
-from barloom.plans.research import IC, MOM, PAIRS, RANKED, momentum_panel
+from barloom.plans.research import IC, MOM, PAIRS, RANKED, momentum_rows
 from barloom.plans.simulated import FEATURES, LIMIT, features, make, plausible, sweep_runs
 from barloom.service.operate import translate_orders
 from barloom.sim.desk import Settings, simulate
@@ -300,5 +300,5 @@ def e14_valuation(spark: SparkSession, sf: str) -> DataFrame:
 @query("a23_window_ic", sql(f"SELECT strftime(date_trunc('month', d), '%Y-%m') AS month, {q6('avg(rank_ic)')} AS mean_ic, count(*) AS days FROM ic GROUP BY 1", MOM, PAIRS, RANKED, IC, panel=True))
 def a23_window_ic(spark: SparkSession, sf: str) -> DataFrame:
     """Mean daily rank correlation per month."""
-    return A.rank_ic(momentum_panel(spark, sf)).groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(r6(F.avg("rank_ic")).alias("mean_ic"), F.count(F.lit(1)).alias("days"))
+    return A.rank_ic(momentum_rows(spark, sf)[0]).groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(r6(F.avg("rank_ic")).alias("mean_ic"), F.count(F.lit(1)).alias("days"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from barloom.functions import cross as X, series as S
-from barloom.operators import analysis as A, factors, metrics as M, vectorized as V
+from barloom.functions.clean import ratio
+from barloom.operators import analysis as A, factors, metrics as M, panel as P, vectorized as V
 from barloom.plans.base import D, W, bars, day, dense, lag, q6, r6, rank_avg, rank_pct, roll, sql
 from barloom.session import stage_table
 
@@ -84,31 +85,38 @@ def momentum_panel(spark: SparkSession, sf: str) -> DataFrame:
     return ready.select("symbol", "date", "h", "ret", S.roc(F.col("h"), 5, w).alias("value"), A.forward(F.col("h"), 1).alias("fwd"))
 
 
+def momentum_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The same on the bars alone, with the place of their date (``ord``); and all dates with theirs."""
+    rows, dates = P.on_dates(bars(spark, sf).select("symbol", "date", P.hfq().alias("h")))
+    h = F.col("h")
+    return rows.select("symbol", "date", "ord", "h", S.change(h, S.line("symbol", order="ord")).alias("ret"), (ratio(h, P.at(h, -5)) - 1).alias("value"), (ratio(P.at(h, 1), h) - 1).alias("fwd")), dates
+
+
 @query("a01_rank_ic", sql(f"SELECT {D}, {q6('rank_ic')} AS rank_ic, n FROM ic", MOM, PAIRS, RANKED, IC, panel=True))
 def a01_rank_ic(spark: SparkSession, sf: str) -> DataFrame:
-    return A.rank_ic(momentum_panel(spark, sf)).select(day().alias("date"), r6("rank_ic").alias("rank_ic"), "n")
+    return A.rank_ic(momentum_rows(spark, sf)[0]).select(day().alias("date"), r6("rank_ic").alias("rank_ic"), "n")
 
 
 @query("a02_ic_summary", sql(f"SELECT {q6('avg(rank_ic)')} AS ic_mean, {q6('stddev_samp(rank_ic)')} AS ic_std, {q6('avg(rank_ic) / stddev_samp(rank_ic)')} AS ic_ir, round(avg(rank_ic) / stddev_samp(rank_ic) * sqrt(count(*)), 5) AS ic_t_stat, count(*) AS n_days, {q6('avg((round(rank_ic, 10) > 0)::INT)')} AS positive_ratio FROM ic", MOM, PAIRS, RANKED, IC, panel=True))
 def a02_ic_summary(spark: SparkSession, sf: str) -> DataFrame:
-    s = A.ic_summary(A.rank_ic(momentum_panel(spark, sf)).withColumn("rank_ic", F.round("rank_ic", 10)))
+    s = A.ic_summary(A.rank_ic(momentum_rows(spark, sf)[0]).withColumn("rank_ic", F.round("rank_ic", 10)))
     return s.select(r6("ic_mean").alias("ic_mean"), r6("ic_std").alias("ic_std"), r6("ic_ir").alias("ic_ir"), F.round("ic_t_stat", 5).alias("ic_t_stat"), "n_days", r6("positive_ratio").alias("positive_ratio"))
 
 
 @query("a03_layers", sql(f"SELECT {D}, grp, {q6('ret')} AS ret FROM ly", MOM, GROUPED, LAYERS, panel=True))
 def a03_layers(spark: SparkSession, sf: str) -> DataFrame:
-    return A.layer_returns(A.layers(momentum_panel(spark, sf))).select(day().alias("date"), "grp", r6("ret").alias("ret"))
+    return A.layer_returns(A.layers(momentum_rows(spark, sf)[0])).select(day().alias("date"), "grp", r6("ret").alias("ret"))
 
 
 @query("a04_long_short", sql(f"SELECT {D}, {q6('t.ret - l.ret')} AS ret FROM (SELECT d, ret FROM ly WHERE grp = 5) t JOIN (SELECT d, ret FROM ly WHERE grp = 1) l USING (d)", MOM, GROUPED, LAYERS, panel=True))
 def a04_long_short(spark: SparkSession, sf: str) -> DataFrame:
-    return A.long_short(A.layer_returns(A.layers(momentum_panel(spark, sf))), 5).select(day().alias("date"), r6("ret").alias("ret"))
+    return A.long_short(A.layer_returns(A.layers(momentum_rows(spark, sf)[0])), 5).select(day().alias("date"), r6("ret").alias("ret"))
 
 
 @query("a05_layer_performance", sql(f"SELECT grp, round(t, 4) AS total_return, round(CASE WHEN t > -1 THEN pow(1 + t, 252.0 / n) - 1 END, 4) AS annual_return, {q6('CASE WHEN s > 1e-12 THEN m / s * sqrt(252) ELSE 0 END')} AS sharpe, n FROM (SELECT grp, product(1 + ret) - 1 AS t, count(*) AS n, avg(ret) AS m, coalesce(stddev_samp(ret), 0) AS s FROM ly2 GROUP BY grp)", MOM, GROUPED, LAYERS, "ly2 AS (SELECT d, grp, greatest(least(ret, 0.1), -0.1) AS ret FROM ly)", panel=True))
 def a05_layer_performance(spark: SparkSession, sf: str) -> DataFrame:
     """Performance of the layers, daily returns held to 10 % as the store has wrong prices."""
-    held = A.layer_returns(A.layers(momentum_panel(spark, sf))).withColumn("ret", F.greatest(F.least("ret", F.lit(0.1)), F.lit(-0.1)))
+    held = A.layer_returns(A.layers(momentum_rows(spark, sf)[0])).withColumn("ret", F.greatest(F.least("ret", F.lit(0.1)), F.lit(-0.1)))
     return A.performance(held, "grp").select("grp", F.round("total_return", 4).alias("total_return"), F.round("annual_return", 4).alias("annual_return"), r6("sharpe").alias("sharpe"), "n")
 
 
@@ -117,7 +125,7 @@ def a05_layer_performance(spark: SparkSession, sf: str) -> DataFrame:
     MOM, GROUPED, "gd AS (SELECT d, row_number() OVER (ORDER BY d) AS o FROM (SELECT DISTINCT d FROM gr))", "bo AS (SELECT x.symbol, x.d, x.grp AS g1, y.grp AS g0 FROM gr x JOIN gd ON gd.d = x.d JOIN gd e ON e.o = gd.o - 1 JOIN gr y ON y.symbol = x.symbol AND y.d = e.d)",
     f"rr AS (SELECT d, {rank_avg('g1', 'd')} AS a, {rank_avg('g0', 'd')} AS c FROM bo)", panel=True))
 def a06_group_autocorrelation(spark: SparkSession, sf: str) -> DataFrame:
-    return A.group_autocorrelation(A.layers(momentum_panel(spark, sf)).select("symbol", "date", "grp")).select(day().alias("date"), r6("autocorr").alias("autocorr"))
+    return A.group_autocorrelation(A.layers(momentum_rows(spark, sf)[0]).select("symbol", "date", "grp")).select(day().alias("date"), r6("autocorr").alias("autocorr"))
 
 
 # Net asset values: growth of each symbol's daily moves, held to 30 % as the store has wrong prices.
@@ -188,7 +196,7 @@ def a25_split_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a26_yearly_ic", sql(f"SELECT count(*) AS years, {q6('avg(m)')} AS mean_ic, {q6('min(m)')} AS min_ic, {q6('max(m)')} AS max_ic, count(*) FILTER (m > 0) AS positive_years FROM (SELECT year(d) AS y, avg(rank_ic) AS m FROM ic GROUP BY 1)", MOM, PAIRS, RANKED, IC, panel=True))
 def a26_yearly_ic(spark: SparkSession, sf: str) -> DataFrame:
-    y = A.rank_ic(momentum_panel(spark, sf)).groupBy(F.year("date").alias("y")).agg(F.avg("rank_ic").alias("m"))
+    y = A.rank_ic(momentum_rows(spark, sf)[0]).groupBy(F.year("date").alias("y")).agg(F.avg("rank_ic").alias("m"))
     return y.agg(F.count(F.lit(1)).alias("years"), r6(F.avg("m")).alias("mean_ic"), r6(F.min("m")).alias("min_ic"), r6(F.max("m")).alias("max_ic"), F.count_if(F.col("m") > 0).alias("positive_years"))
 
 
@@ -232,6 +240,14 @@ def _backtest(l: int) -> tuple[str, ...]:
     )
 
 
+def held_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Weights and held prices on the bars alone, and all dates."""
+    rows, dates = momentum_rows(spark, sf)
+    p = rows.select("symbol", "date", "ord", "value", F.when(F.col("ret").isNotNull(), F.greatest(F.least("ret", F.lit(0.3)), F.lit(-0.3))).alias("r"))
+    p = p.select("symbol", "date", "ord", "value", S.growth(F.col("r"), S.line("symbol", order="ord")).alias("h"))
+    return V.weights_from_factor(p, keep=("ord", "h")), dates
+
+
 def held_prices(spark: SparkSession, sf: str) -> DataFrame:
     """Dense prices whose daily changes are held to 30 %: growth of the held changes."""
     w = S.line("symbol")
@@ -241,13 +257,12 @@ def held_prices(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("x07_weights", sql(f"SELECT symbol, {D}, {q6('weight')} AS weight FROM wt WHERE weight IS NOT NULL", MOM, WEIGHTS, panel=True))
 def x07_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return V.weights_from_factor(momentum_panel(spark, sf)).where("weight is not null").select("symbol", day().alias("date"), r6("weight").alias("weight"))
+    return V.weights_from_factor(momentum_rows(spark, sf)[0]).where("weight is not null").select("symbol", day().alias("date"), r6("weight").alias("weight"))
 
 
 for _name, _lag in (("b01_backtest", 1), ("b01_backtest_lag3", 3)):
     def _bt(spark: SparkSession, sf: str, lag: int = _lag) -> DataFrame:
-        p = held_prices(spark, sf)
-        d = V.portfolio(V.weights_from_factor(p, keep=("h",)), lag=lag)
+        d = V.portfolio_on_rows(*held_rows(spark, sf), lag=lag)
         return d.select(day().alias("date"), *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("gross", "turnover", "net")], F.round("nav", 5).alias("nav"))
 
     QUERIES[_name] = _bt
@@ -259,7 +274,7 @@ for _name, _lag in (("b01_backtest", 1), ("b01_backtest_lag3", 3)):
     MOM, WEIGHTS, *_backtest(1), panel=True))
 def b02_screen(spark: SparkSession, sf: str) -> DataFrame:
     """Factor to weights to backtest to measures in one plan."""
-    d = stage_table(V.portfolio(V.weights_from_factor(held_prices(spark, sf), keep=("h",))), "screen")  # a row per date
+    d = stage_table(V.portfolio_on_rows(*held_rows(spark, sf)), "screen")  # a row per date
     m = M.summarize(d.withColumn("run", F.lit(1)), ["run"])
     return d.agg(F.avg("turnover").alias("t"), F.lit(1).alias("k")).join(m, F.col("k") == F.col("run")).select("n", r6("total_return").alias("total_return"), r6("max_drawdown").alias("max_drawdown"), r6("t").alias("mean_turnover"))
 

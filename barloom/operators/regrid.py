@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from barloom.functions.clean import quoted
 
@@ -12,8 +12,8 @@ from barloom.functions.clean import quoted
 SHARD_DAYS = 91
 
 
-def regularize(readings: DataFrame, grid: DataFrame, source: str, day: str, fields: Sequence[str], *, grid_day: str = "date", version: str | None = None, shard_days: int = SHARD_DAYS) -> DataFrame:
-    """One row per source and grid day from the source's first reading to its last.
+def regularize(readings: DataFrame, grid: DataFrame | None, source: str, day: str, fields: Sequence[str], *, grid_day: str = "date", version: str | None = None, shard_days: int = SHARD_DAYS) -> DataFrame:
+    """One row per source and grid day (every day, where ``grid`` is None) from the source's first reading to its last.
 
     Columns: ``source``, ``day`` (date), ``is_missing`` (no reading that day), ``<field>`` as read, ``<field>_filled`` (last present value at or
     before the day), ``days_since`` (days since the last reading, 0 on days with one).
@@ -57,8 +57,13 @@ def regularize(readings: DataFrame, grid: DataFrame, source: str, day: str, fiel
     shards = scan.select("__src", "__from", F.when(F.col("__next").isNull(), F.col("__last")).alias("__until"), F.explode(F.concat(F.array(own), F.coalesce(gap, F.array().cast(scan.select(F.array(own).alias("x")).schema["x"].dataType)))).alias("x"))
     shards = shards.select("__src", "__from", "__until", F.col("x.s").alias("__shard"), F.col("x.d").alias("__carry_day"), *[F.col(f"x.{n}").alias(f"__carry{n}") for n in fs])
 
-    days = grid.select(quoted(grid_day).cast("date").alias("__day")).where("__day is not null").groupBy("__day").agg(F.lit(1).alias("__one")).select("__day", shard(F.col("__day")).alias("__shard")).groupBy("__shard").agg(F.collect_set("__day").alias("__days"))
-    points = shards.join(days, "__shard").select("__src", "__shard", F.explode(F.filter("__days", lambda d: (d >= F.col("__from")) & (F.col("__until").isNull() | (d <= F.col("__until"))))).alias("__day"), "__carry_day", *[f"__carry{n}" for n in fs])
+    wanted = lambda d: (d >= F.col("__from")) & (F.col("__until").isNull() | (d <= F.col("__until")))
+    carried = ["__carry_day", *[f"__carry{n}" for n in fs]]
+    if grid is None:
+        every = F.transform(F.sequence(F.lit(0), F.lit(shard_days - 1)), lambda k: F.date_add(epoch, F.col("__shard") * shard_days + k))
+        points = shards.select("__src", "__shard", F.explode(F.filter(every, wanted)).alias("__day"), *carried)
+    else:
+        points = _grid_points(shards, grid, grid_day, shard, wanted, carried)
 
     points = points.select("__src", "__shard", "__day", F.lit(True).alias("__on"), F.lit(False).alias("__read"), "__carry_day", *[f"__carry{n}" for n in fs], *[F.lit(None).cast(kinds[f]).alias(n) for f, n in zip(fields, fs)])
     read = daily.select("__src", "__shard", "__day", F.lit(False).alias("__on"), F.lit(True).alias("__read"), F.lit(None).cast("date").alias("__carry_day"), *[F.lit(None).cast(kinds[f]).alias(f"__carry{n}") for f, n in zip(fields, fs)], *fs)
@@ -68,3 +73,26 @@ def regularize(readings: DataFrame, grid: DataFrame, source: str, day: str, fiel
     filled = [F.coalesce(F.last(n, ignorenulls=True).over(inside), F.col(f"__carry{n}")).alias(f"{f}_filled") for f, n in zip(fields, fs)]
     out = merged.select(F.col("__src").alias(source), F.col("__day").alias(day), (~F.col("__read")).alias("is_missing"), *[F.col(n).alias(f) for f, n in zip(fields, fs)], *filled, F.datediff("__day", last_day).alias("days_since"), "__on")
     return out.where("__on").drop("__on")
+
+
+def _grid_points(shards: DataFrame, grid: DataFrame, grid_day: str, shard: Callable[[Column], Column], wanted: Callable[[Column], Column], carried: list[str]) -> DataFrame:
+    """Days of the grid in each shard of each source, with the shard's carried state."""
+    days = grid.select(quoted(grid_day).cast("date").alias("__day")).where("__day is not null").groupBy("__day").agg(F.lit(1).alias("__one")).select("__day", shard(F.col("__day")).alias("__shard")).groupBy("__shard").agg(F.collect_set("__day").alias("__days"))
+    return shards.join(days, "__shard").select("__src", "__shard", F.explode(F.filter("__days", wanted)).alias("__day"), *carried)
+
+
+def regularize_steps(readings: DataFrame, source: str, at: str, fields: Sequence[str], seconds: int, *, shard_steps: int = 512) -> DataFrame:
+    """As ``regularize`` on a grid of steps of so many seconds (counted from 1970): one row per source and step from its first reading to its last.
+
+    Columns: ``source``, ``at`` (timestamp, the step's begin), ``is_missing``, ``<field>`` as last read in the step (of equal times, the greatest values),
+    ``<field>_filled``, ``steps_since`` (steps since the last one with a reading). Shards of ``shard_steps`` steps are filled independently.
+    """
+    epoch = F.lit("1970-01-01").cast("date")
+    moment = quoted(at).cast("timestamp")
+    # steps are counted like days, so that the same shards, summaries and scans serve
+    slot = F.date_add(epoch, F.floor(F.unix_micros(moment) / F.lit(seconds * 1_000_000)).cast("int"))
+    rows = readings.select(quoted(source).alias("__of"), slot.alias("__step"), moment.alias("__moment"), *[quoted(f).alias(f"__v{i}") for i, f in enumerate(fields)])
+    names = [f"__v{i}" for i in range(len(fields))]
+    out = regularize(rows, None, "__of", "__step", names, version="__moment", shard_days=shard_steps)
+    begin = F.timestamp_micros(F.datediff("__step", epoch).cast("long") * (seconds * 1_000_000))
+    return out.select(F.col("__of").alias(source), begin.alias(at), "is_missing", *[F.col(n).alias(f) for n, f in zip(names, fields)], *[F.col(f"{n}_filled").alias(f"{f}_filled") for n, f in zip(names, fields)], F.col("days_since").alias("steps_since"))

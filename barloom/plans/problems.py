@@ -8,7 +8,7 @@ from barloom.functions import clean
 from barloom.functions.units import BARE, BASES, CONVERSIONS, MULTIPLIED, MULTIPLIERS
 from barloom.operators.asof import known_at
 from barloom.operators.copydiff import diff_copies
-from barloom.operators.regrid import regularize
+from barloom.operators.regrid import regularize, regularize_steps
 from barloom.operators.snapshots import series_changes
 from barloom.operators.spikes import flag_bars
 from barloom.operators.units import Relation, UnitHarmonizer, conversion_table
@@ -114,6 +114,12 @@ def p3_grid(spark: SparkSession, sf: str) -> DataFrame:
     return gridded(spark, sf, ["close", "adj_factor", "volume"]).withColumn("date", clean.day_text("date"))
 
 
+def p3_hours(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings at any moment on a grid of hours: the last value of each kind of event in each hour, filled and marked."""
+    g = regularize_steps(table(spark, sf, "events"), "event_type", "ts", ["value"], 3600)
+    return g.select("event_type", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("hour"), "is_missing", "value", "value_filled", "steps_since")
+
+
 def reports(spark: SparkSession, sf: str) -> DataFrame:
     """Reports with read keys and days; usable ones have roe and were announced after the end of their period."""
     y = table(spark, sf, "yjbb")
@@ -148,7 +154,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_changes(spark, sf).drop("changed_fields")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_differences, p1_crowded, p2_found, p2_linked, p2_values, p2_conversions, p3_found, p3_grid, p4_found, p4_signals, p5_found, p6_found, p6_changes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_differences, p1_crowded, p2_found, p2_linked, p2_values, p2_conversions, p3_found, p3_grid, p3_hours, p4_found, p4_signals, p5_found, p6_found, p6_changes)}
 
 #: DuckDB expressions for the raw forms.
 SQL_SYMBOL = "regexp_extract({0}, '([0-9]{{6}})', 1) || '.' || regexp_extract(upper({0}), '(SH|SZ|BJ)', 1)"
@@ -259,6 +265,11 @@ SQL = {
         w AS (SELECT *, last_value(close IGNORE NULLS) OVER w AS close_filled, last_value(adj_factor IGNORE NULLS) OVER w AS adj_factor_filled, last_value(volume IGNORE NULLS) OVER w AS volume_filled, last_value(read IGNORE NULLS) OVER w AS seen
               FROM u WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS UNBOUNDED PRECEDING))
         SELECT symbol, strftime(d, '%Y-%m-%d') AS date, read IS NULL AS is_missing, close, adj_factor, volume, close_filled, adj_factor_filled, volume_filled, (d - seen)::INT AS days_since FROM w WHERE on_grid""",
+    "p3_hours": f"""WITH r AS (SELECT event_type, date_trunc('hour', ts) AS h, arg_max({SQL_VALUE.format('value')}, ts) AS value FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
+        g AS (SELECT event_type, unnest(generate_series(a, z, INTERVAL 1 HOUR)) AS h FROM (SELECT event_type, min(h) AS a, max(h) AS z FROM r GROUP BY 1)),
+        u AS (SELECT g.event_type, g.h, r.h AS read, r.value FROM g LEFT JOIN r ON r.event_type = g.event_type AND r.h = g.h)
+        SELECT event_type, strftime(h, '%Y-%m-%d %H:%M') AS hour, read IS NULL AS is_missing, value, last_value(value IGNORE NULLS) OVER w AS value_filled, date_diff('hour', last_value(read IGNORE NULLS) OVER w, h)::INT AS steps_since
+        FROM u WINDOW w AS (PARTITION BY event_type ORDER BY h ROWS UNBOUNDED PRECEDING)""",
     "p4_found": f"WITH {_KNOWN} SELECT signal_id, report_id FROM k WHERE rn = 1 AND report_id IS NOT NULL",
     "p4_signals": f"WITH {_KNOWN} SELECT signal_id, symbol, strategy, side, report_id, strftime(period, '%Y-%m-%d') AS period, strftime(ann_date, '%Y-%m-%d') AS ann_date, roe FROM k WHERE rn = 1",
     "p6_found": f"WITH {_SNAPS} SELECT t.snapshot_tag, symbol, strftime(date, '%Y-%m-%d') AS date, change_kind FROM m JOIN tags t USING (k) WHERE change_kind IS NOT NULL",

@@ -3,7 +3,7 @@ import random
 
 import pandas as pd
 
-from barloom.operators.regrid import regularize
+from barloom.operators.regrid import regularize, regularize_steps
 from tests.conftest import rows
 
 
@@ -50,3 +50,13 @@ def test_empty_and_nan_and_clashes(spark):
     df = spark.createDataFrame([("a", d(0), 1.0, "x"), ("a", d(1), float("nan"), "x"), ("a", d(3), 2.0, "x")], "src string, at date, v double, is_missing string")
     assert rows(regularize(df, days, "src", "at", ["v"])) == [("a", d(0), False, 1.0, 1.0, 0), ("a", d(1), False, None, 1.0, 0), ("a", d(2), True, None, 1.0, 1), ("a", d(3), False, 2.0, 2.0, 0)]
     assert rows(regularize(df, days.limit(0), "src", "at", ["v"])) == []
+
+
+def test_steps_of_seconds(spark):
+    t = lambda s: dt.datetime(2024, 1, 1, 23, 59, 0) + dt.timedelta(seconds=s)
+    data = [("a", t(1), 1.0, 5), ("a", t(4), 2.0, 5), ("a", t(61), None, 5), ("a", t(185), float("nan"), 5), ("a", t(241), 9.0, 5), ("b", t(30), 3.0, 5), ("b", None, 4.0, 5), (None, t(3), 4.0, 5)]
+    df = spark.createDataFrame(data, "src string, ts timestamp, value double, is_missing int")
+    for shard in (2, 512):
+        got = {(r.src, r.ts): tuple(r)[2:] for r in regularize_steps(df, "src", "ts", ["value"], 60, shard_steps=shard).collect()}
+        assert got == {("a", t(0)): (False, 2.0, 2.0, 0), ("a", t(60)): (False, None, 2.0, 0), ("a", t(120)): (True, None, 2.0, 1), ("a", t(180)): (False, None, 2.0, 0), ("a", t(240)): (False, 9.0, 9.0, 0), ("b", t(0)): (False, 3.0, 3.0, 0)}
+    assert regularize_steps(df.limit(0), "src", "ts", ["value"], 60).collect() == []

@@ -12,9 +12,9 @@ NUMBERS = ("open", "high", "low", "close", "pre_close", "volume", "amount", "tur
 PRICES = ("open", "high", "low", "close", "pre_close")
 
 
-def clean_bars(raw: DataFrame) -> DataFrame:
+def clean_bars(raw: DataFrame, numbers: Sequence[str] = NUMBERS) -> DataFrame:
     """One row per (symbol, date): the latest delivery; days without time, NaN as NULL, suspended never NULL."""
-    row = F.struct(*[present(c).alias(c) for c in NUMBERS], F.coalesce("suspended", F.lit(False)).alias("suspended"), "updated_at")
+    row = F.struct(*[present(c).alias(c) for c in numbers], F.coalesce("suspended", F.lit(False)).alias("suspended"), "updated_at")
     best = raw.groupBy("symbol", F.col("date").cast("date").alias("date")).agg(F.max_by(row, "updated_at").alias("r"))
     return best.select("symbol", "date", "r.*")
 

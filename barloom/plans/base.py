@@ -18,6 +18,13 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
     return P.clean_bars(table(spark, sf, "daily_bars"))
 
 
+def moves(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily moves held to 30 %, of all bars; none where a price is missing or not positive. Other fields are not carried along."""
+    r = F.greatest(F.least(F.col("close") / F.col("pre_close") - 1, F.lit(0.3)), F.lit(-0.3))
+    b = P.clean_bars(table(spark, sf, "daily_bars"), ("close", "pre_close"))
+    return b.select("symbol", "date", F.when((F.col("close") > 0) & (F.col("pre_close") > 0), r).alias("r"))
+
+
 def dense(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
     return P.densify(bars(spark, sf), columns)
 

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from barloom.functions import cross as X, series as S
 from barloom.functions.clean import ratio
 from barloom.operators import analysis as A, factors, metrics as M, panel as P, vectorized as V
-from barloom.plans.base import D, W, bars, day, dense, lag, q6, r6, rank_avg, rank_pct, roll, sql
+from barloom.operators.covariance import pairwise_covariance
+from barloom.plans.base import D, W, bars, day, dense, lag, moves, q6, r6, rank_avg, rank_pct, roll, sql
 from barloom.session import stage_table
 
 QUERIES: dict = {}
@@ -219,10 +220,7 @@ def a19_breadth(spark: SparkSession, sf: str) -> DataFrame:
     "m AS (SELECT symbol, d, greatest(least(close / pre_close - 1, 0.3), -0.3) AS r FROM b WHERE close > 0 AND pre_close > 0)"))
 def a20_covariance(spark: SparkSession, sf: str) -> DataFrame:
     """Covariance of the daily moves of symbols over their common days; 20 at least."""
-    move = F.greatest(F.least(C() / F.col("pre_close") - 1, F.lit(0.3)), F.lit(-0.3))
-    m = bars(spark, sf).where("close > 0 and pre_close > 0").select("symbol", "date", move.alias("r"))
-    a, b = m.withColumnsRenamed({"symbol": "sym_a", "r": "ra"}), m.withColumnsRenamed({"symbol": "sym_b", "r": "rb"})
-    return a.join(b, "date").where("sym_a <= sym_b").groupBy("sym_a", "sym_b").agg((F.round(F.covar_samp("ra", "rb"), 8) + F.lit(0.0)).alias("cov"), F.count(F.lit(1)).alias("n")).where("n >= 20")
+    return pairwise_covariance(moves(spark, sf), 20)
 
 
 # Backtests on the momentum factor.

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from barloom.functions import series as S
 from barloom.ml import dataset as L, models, optimize
 from barloom.operators import factors
-from barloom.plans.base import D, W, bars, day, dense, lag, q6, r6, roll, sql, table
+from barloom.plans.base import D, W, bars, day, dense, lag, moves, q6, r6, roll, sql, table
 from barloom.sim.desk import Settings, simulate
 from barloom.sim.grid import clean_factors, grid_trading
 from barloom.sim.rules import FREE
@@ -147,20 +147,17 @@ def m07_weights(spark: SparkSession, sf: str) -> DataFrame:
     A matrix of pairwise common days is not positive semidefinite on histories this uneven, so least variance would have no meaning on it.
     The moves, centred and divided by the root of their number less one, are a factor of a covariance with each symbol's own sample variance.
     """
-    move = F.when((F.col("close") > 0) & (F.col("pre_close") > 0), F.greatest(F.least(F.col("close") / F.col("pre_close") - 1, F.lit(0.3)), F.lit(-0.3)))
-    b = bars(spark, sf).select("symbol", "date", move.alias("r"))
     # a row per symbol with plain numbers: the driver holds no object per bar
     pair = F.when(F.col("r").isNotNull(), F.struct(F.unix_date("date").alias("d"), "r"))
-    moves = b.groupBy("symbol").agg(F.count("r").alias("n"), F.avg("r").alias("m"), F.collect_list(pair).alias("p")).select("symbol", "n", "m", F.col("p.d").alias("d"), F.col("p.r").alias("r"))
-    seen = moves.toArrow().to_pandas().sort_values("symbol", ignore_index=True)
+    each = moves(spark, sf).groupBy("symbol").agg(F.count("r").alias("n"), F.avg("r").alias("m"), F.collect_list(pair).alias("p")).select("symbol", "n", "m", F.col("p.d").alias("d"), F.col("p.r").alias("r"))
+    seen = each.toArrow().to_pandas().sort_values("symbol", ignore_index=True)
     held = seen[seen["n"] >= 20].reset_index(drop=True)
     if held.empty:
         return spark.createDataFrame(seen[["symbol"]], "symbol string").select("symbol", *[F.lit(None).cast("double").alias(c) for c in ("min_variance", "mean_variance", "risk_parity")])
     days = np.unique(np.concatenate(held["d"].to_list()))
-    z = np.zeros((len(days), len(held)))
-    for k, row in enumerate(held.itertuples(index=False)):
-        z[np.searchsorted(days, row.d), k] = (np.asarray(row.r) - row.m) / np.sqrt(row.n - 1)
-    sigma = optimize.Factored(z, 1e-8)
+    at = [np.searchsorted(days, d) for d in held["d"]]
+    z = [(r - m) / np.sqrt(n - 1) for r, m, n in zip(held["r"], held["m"], held["n"])]
+    sigma = optimize.Factored.of_columns(at, z, len(days), 1e-8)
     held = held[["symbol"]].assign(min_variance=optimize.min_variance(sigma), mean_variance=optimize.mean_variance(held["m"].to_numpy(), sigma), risk_parity=sigma.risk_parity())
     found = seen[["symbol"]].merge(held, "left", "symbol")
     return spark.createDataFrame(found, "symbol string, min_variance double, mean_variance double, risk_parity double").select("symbol", *[r6(F.when(~F.isnan(c), F.col(c))).alias(c) for c in found.columns[1:]])
